@@ -1,0 +1 @@
+"""No streams: the engine's scope is batch tables. The package keeps the place for them."""
