@@ -141,32 +141,43 @@ def overlaps(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np
 
 
 def verify(ws: Workspace, members: DataFrame, threshold: float, name: str) -> tuple[DataFrame, DataFrame]:
-    """Exact links among members (node, root, items: sorted distinct 64-bit hashes as bytes).
+    """Exact links among members (node, root, items: sorted distinct 64-bit hashes as bytes, doc and line: where the node first stands).
 
-    Returns (node, n_links) for the nodes with links, and spanning edges (a, b) of the links. A large component is cut
-    into blocks of at most about BLOCK_ROWS rows and BLOCK_BYTES bytes; a task holds two of them.
+    Returns (node, n_links, first: the earliest doc and line of a linked node) for the nodes with links, and
+    spanning edges (a, b) of the links. A large component is cut into blocks of at most about BLOCK_ROWS rows
+    and BLOCK_BYTES bytes; a task holds two of them.
     """
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("items")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES))
     cut = members.join(sizes.select("root", F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")), "root")
-    cells = dealt(cut.select("root", "node", "items", "blocks"), ["root"], "blocks").select("root", "cell", "block", "node", "items")
+    cells = dealt(cut.select("root", "node", "items", "doc", "line", "blocks"), ["root"], "blocks").select("root", "cell", "block", "node", "items", "doc", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in grouped(batches, 2):
             node, block = fixed(t.column(3), KEY), t.column(2).to_numpy()
+            doc, line = t.column(5).to_numpy(), t.column(6).to_numpy()
+            rank = np.empty(len(t), dtype=np.int64)
+            order = np.lexsort((line, doc))
+            rank[order] = np.arange(len(t))
             items, off = text_buffer(t.column(4))
             flat = items.view("<u8")
             off //= 8
-            heads, tails, links = [], [], np.zeros(len(t), dtype=np.int64)
+            heads, tails, links, first = [], [], np.zeros(len(t), dtype=np.int64), np.full(len(t), len(t))
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
                 crossing = block[lo:hi].min() != block[lo:hi].max()
                 label = np.arange(hi - lo)
                 for i, js in overlaps([flat[off[k] : off[k + 1]] for k in range(lo, hi)], threshold):
                     if crossing:
                         js = js[block[lo + js] != block[lo + i]]
+                    if not len(js):
+                        continue
                     links[lo + i] += len(js)
                     links[lo + js] += 1
-                    for j in js.tolist():
+                    first[lo + i] = min(first[lo + i], rank[lo + js].min())
+                    first[lo + js] = np.minimum(first[lo + js], rank[lo + i])
+                    for j in js[label[js] != label[i]].tolist():
                         if label[j] != label[i]:
                             heads.append(lo + i)
                             tails.append(lo + j)
@@ -174,8 +185,10 @@ def verify(ws: Workspace, members: DataFrame, threshold: float, name: str) -> tu
             some = np.flatnonzero(links)
             a = pa.array([node[k].tobytes() for k in [*some, *heads]], pa.binary())
             b = pa.array([None] * len(some) + [node[k].tobytes() for k in tails], pa.binary())
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([links[some], np.zeros(len(heads), np.int64)]))], names=["a", "b", "links"])
+            pad = np.zeros(len(heads), np.int64)
+            where = order[first[some]]
+            yield pa.RecordBatch.from_arrays([a, b, *(pa.array(np.concatenate([x, pad])) for x in (links[some], doc[where], line[where]))], names=["a", "b", "links", "doc", "line"])
 
-    found = ws.save(cells.mapInArrow(run, "a binary, b binary, links long"), name)
-    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
+    found = ws.save(cells.mapInArrow(run, "a binary, b binary, links long, doc long, line long"), name)
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"), F.min(F.struct("doc", "line")).alias("first"))
     return counts, found.where("b is not null").select("a", "b")
