@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
@@ -12,17 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Where it is unset (tests, a laptop) a folder of our own is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf:
-        conf = spark.conf.get("spark.checkpoint.dir", "")
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="basalt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
+from ..sources.storage import remove, scratch
 
 _shipped: set[str] = set()
 
@@ -46,7 +35,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/basalt-{name}-{uuid.uuid4().hex}"
+        self.path = scratch(spark, name)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
@@ -54,8 +43,7 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that no returned frame reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, f"{self.path}/{name}")
 
 
 def join_on(left: DataFrame, right: DataFrame, names: Iterable[str], how: str = "inner") -> DataFrame:

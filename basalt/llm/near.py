@@ -165,9 +165,9 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     wanted = inside.join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
     texts = join_on(rows, wanted, ["node", "doc_id"]).dropDuplicates(["node"])
     shingled = ws.save(_shingled(texts), "shingled")
-    counts, links = verify(ws, shingled, threshold, "verified")
+    counts, links = verify(ws, shingled.withColumns({"doc": F.lit(0).cast("long"), "line": F.lit(0).cast("long")}), threshold, "verified")
     root = components(ws, links, "classes")
-    found = ws.save(counts.join(root, "node", "left"), "found")
+    found = ws.save(counts.drop("first").join(root, "node", "left"), "found")
     classes = nodes.select("node", "rep", "n_copies").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
     classes = ws.save(classes.join(of, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "result")
