@@ -35,7 +35,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         digits = rows.select("doc_id", "text_sha256", "path", "left", F.substring("rest", 1, width).alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
         groups = digits.groupBy("path", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where("n > 1")
         groups = ws.save(groups.withColumn("group", F.monotonically_increasing_id()), f"groups{r}")
-        found = digits.join(groups, ["path", "digit"], "left")
+        found = digits.join(groups.hint("merge"), ["path", "digit"], "left")  # never a broadcast: the groups grow with the input
         is_open = F.col("n").isNotNull() & (F.col("left") > width)
         found = ws.save(found.select("doc_id", "text_sha256", "n", "top", F.col("group").alias("path"), (F.col("left") - width).alias("left"), F.when(is_open, F.col("rest")).alias("rest")), f"rows{r}")
         done.append(found.where("n is null or left <= 0"))
