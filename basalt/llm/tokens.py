@@ -19,6 +19,8 @@ protocol holds when executors or attempts are lost, and any file system that Spa
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,9 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
+from .words import CHUNK, runs, span_hashes, text_buffer
 
 MAGIC, HEAD, SAMPLE = b"BSLTEF01", struct.Struct("<8Q"), 256
-SEGMENT_IDS, MEMO, END_ID = 4_000_000, 300_000, 1
+SEGMENT_IDS, MEMO, END_ID = 2_000_000, 500_000, 1
 
 
 class EliasFano:
@@ -112,53 +115,137 @@ class Segment:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
+#: fixed value: the pre-tokenizer's pattern for which text can be cut by its bytes
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BLANK, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+#: bytes that need a look at all that stands between two blanks: beyond ASCII, control, apostrophe, special tokens' '<'.
+#: The letters from U+00C0 to U+00FF are spared: nothing composes with them unless such a byte follows.
+_HARD = np.zeros(256, dtype=bool)
+_HARD[128:] = _HARD[:9] = _HARD[14:32] = _HARD[127] = _HARD[39] = _HARD[60] = True
+
+
 class Encoder:
-    """Ids of texts, with a bounded memo of what stands between blanks.
+    """Ids of many texts at once, the same as the library's own for each.
 
-    Only for tokenizers that never join text across a blank or a line feed, such as word_bpe_49k.json: its
-    pre-tokenizer drops white space, its normalizer composes nothing across it.
+    With PATTERN, white space that is dropped, and lower case, pieces are encoded independently of each other: runs of letters,
+    digits, runs of other ASCII characters, and, where hard bytes occur, all that stands between blanks. Blocks of
+    text are cut into these with numpy, each distinct piece of a block is looked up in a bounded memo and what is
+    new is encoded by the library. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, tokenizer_json: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_str(tokenizer_json), memo
-        self.clear()
-
-    def clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        end = len(self.flat) + np.cumsum(size)
-        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))])
-        self.begin, self.size = np.concatenate([self.begin, end - size]), np.concatenate([self.size, size])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.memo)
-        if new and len(self.memo) + len(new) > self.limit:
-            self.clear()
-            new = set().union(*split)
-        if new:
-            self.learn(list(new))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-            size = self.size[at]
-            end = np.cumsum(size)
-            out.append(self.flat[np.arange(end[-1]) + np.repeat(self.begin[at] - (end - size), size)])
+        self.memo: dict[bytes, bytes] = {}
+        spec = json.loads(tokenizer_json)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        first = steps[0]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.cuts = lower and bool(suffix) and first.get("pattern") == {"Regex": PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+        if self.cuts:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def learn(self, pieces: list[bytes], whole: np.ndarray) -> list[bytes]:
+        """Ids of pieces, as bytes. Those that aren't whole are one word each and go together: a piece ends where a token ends a word."""
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        easy = [texts[k] for k in np.flatnonzero(~whole)]
+        joined = self.tokenizer.encode_batch_fast([" ".join(easy[k : k + 500]) for k in range(0, len(easy), 500)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in joined]) if joined else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(easy):
+            raise ValueError("the tokenizer does not mark where words end")
+        raw, begin = ids.tobytes(), [0, *(4 * ends).tolist()]
+        out: list[bytes] = [b""] * len(pieces)
+        for k, a, b in zip(np.flatnonzero(~whole).tolist(), begin[:-1], begin[1:], strict=True):
+            out[k] = raw[a:b]
+        hard = np.flatnonzero(whole).tolist()
+        for k, x in zip(hard, self.tokenizer.encode_batch_fast([texts[k] for k in hard], add_special_tokens=False), strict=True):
+            out[k] = np.array(x.ids, np.uint32).tobytes()
+        if len(self.memo) + len(pieces) <= self.limit:
+            self.memo.update(zip(pieces, out, strict=True))
         return out
 
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids of some rows after each other, where each row's end) until the column's end."""
+        buf, offsets = text_buffer(column)
+        lo, n = 0, len(offsets) - 1
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
+            part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            if self.cuts:
+                yield lo, *self._block(part, off)
+            else:
+                texts = [part[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                got = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                yield lo, np.concatenate(got), np.cumsum([len(x) for x in got])
+            lo = hi
+
+    def _block(self, part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind, mark = _KIND[part], _HARD[part]
+        lead = np.flatnonzero((part[:-1] == 0xC3) & (part[1:] != 0x97) & (part[1:] != 0xB7))
+        for k in (lead, lead + 1):
+            kind[k], mark[k] = _LETTER, False
+        inside = kind != _BLANK
+        starts, ends = runs(inside, off)
+        hard = np.concatenate([[0], np.cumsum(mark)])
+        whole = hard[ends] > hard[starts]
+        kind[inside] = np.where(np.repeat(whole, ends - starts), _WHOLE, kind[inside])
+        new = inside.copy()
+        new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        new[starts] = True
+        begin = np.flatnonzero(new)
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+        end = np.append(begin[1:], len(part))
+        stop = ends[np.searchsorted(starts, begin, "right") - 1]
+        end = np.minimum(end, stop)
+        hashes = span_hashes(part, begin, end)
+        special = np.concatenate([[0], np.cumsum(part == 60)])
+        for k in np.flatnonzero(special[end] > special[begin]):  # special tokens are case-sensitive
+            hashes[k] = np.uint64(hash(part[begin[k] : end[k]].tobytes()) & 0xFFFFFFFFFFFFFFFF)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = part.tobytes()
+        pieces = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+        got = list(map(self.memo.get, pieces))
+        missing = [k for k, x in enumerate(got) if x is None]
+        if missing:
+            for k, x in zip(missing, self.learn([pieces[k] for k in missing], kind[begin[first[missing]]] == _WHOLE), strict=True):
+                got[k] = x
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), np.uint32)
+        at = np.cumsum(size) - size
+        each = size[which]
+        upto = np.cumsum(each)
+        ids = flat[np.arange(upto[-1]) + np.repeat(at[which] - (upto - each), each)]
+        return ids, np.concatenate([[0], upto])[np.searchsorted(begin, off[1:])]
+
+
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> Encoder:
+    """One per worker process, so that later tasks find its memo."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(tokenizer_json)
+    return _encoders[key]
+
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and write them in ascending doc_id order (nulls first; equal ids by text), a segment per file.
 
-    The order is a range sort, so no task holds more than a range; a segment has about segment_ids ids, or one
-    document. A null text has its end id alone. An empty table writes no segment.
+    The order is a range sort, so no task holds more than a range; a segment has about segment_ids ids, or ends with the
+    block of about a MB of text, or the one longer document, in which it reaches them. A null text has its end id alone. An empty table writes no segment.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())  # a vocabulary file: a few MB, whatever the corpus
@@ -167,24 +254,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
     rows = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, docs_, ids, total = Encoder(model.value), 0, [], [], 0
-        end = np.array([end_id], dtype=np.uint32)
+        encoder, number, docs_, ids, sizes = _encoder(model.value), 0, [], [], []
 
         def segment() -> pa.RecordBatch:
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             data = pack(TaskContext.get().partitionId(), number, docs_, bounds, np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                for d, x in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    docs_.append(d)
-                    ids.append(np.concatenate([x, end]))
-                    total += len(x) + 1
-                    if total >= segment_ids:
-                        yield segment()
-                        number, docs_, ids, total = number + 1, [], [], 0
+            for lo, got, ends in encoder.encode(batch.column(1)):
+                docs_ += batch.column(0).slice(lo, len(ends)).to_pylist()
+                ids.append(np.insert(got, ends, end_id))
+                sizes.append(np.diff(ends, prepend=0) + 1)
+                if sum(map(len, ids)) >= segment_ids:
+                    yield segment()
+                    number, docs_, ids, sizes = number + 1, [], [], []
         if docs_:
             yield segment()
 
