@@ -3,11 +3,11 @@
 A source with target T and size S takes every document floor(T / S) times, and the remaining fraction as an
 inclusion probability. The flight phase moves probabilities along the null space of the constraints (token
 total, document total): three undecided documents at a time, until one of them is at 0 or 1. It runs in
-buckets of a source, in parallel; each leaves two undecided documents at most, with which the source's second
-flight goes on; the landing phase rounds its last two so that the token total is met best.
+buckets of a source, in parallel; each leaves two undecided documents at most, which fly again in buckets of
+their own until a source has one; the landing phase rounds its last two so that the token total is met best.
 
 Skew: buckets are cut from hashes so that each has about bucket_rows rows however large the source is.
-The second flight of a source sees two rows per bucket. Only ids and sizes are shuffled, never text.
+Only ids and sizes are shuffled, never text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, join_on, table
 from .words import count_runs
 
-WEIGHTS, MOST, BUCKET_ROWS, SEED = (5, 2, 1), 3, 20_000, 8
+WEIGHTS, MOST, BUCKET_ROWS, SEED = (5, 2, 1), 3, 2_000, 8
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -130,10 +130,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     rows = join_on(rows, per, ["source"]).withColumn("rate", rate)
     rows = rows.withColumns({"whole": F.floor(F.col("rate") + 1e-12), "buckets": F.ceil(F.col("docs") / bucket_rows)})
     rows = rows.select("doc_id", "source", "mix", "size", "source_size", "target", "whole", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)).alias("p"), F.pmod(F.col("mix"), "buckets").alias("bucket"))
-    flown = ws.save(rows.groupBy("source", "bucket").applyInPandas(_flown(False, seed), rows.schema), "flown")
+    largest = per.agg(F.max("docs")).first()[0] or 0
     inside = (F.col("p") > 0) & (F.col("p") < 1)
-    landed = flown.where(inside).withColumn("bucket", F.lit(-1).cast("long")).groupBy("source").applyInPandas(_flown(True, seed), rows.schema)
-    out = flown.where(~inside).unionByName(landed).withColumn("copies", (F.col("whole") + F.col("p")).cast("long"))
+    level, out = 0, None
+    while True:
+        last = level and largest <= bucket_rows
+        flown = rows.groupBy("source", "bucket").applyInPandas(_flown(bool(last), seed + level), rows.schema)
+        if last:
+            break
+        flown = ws.save(flown, f"flown{level}")
+        done = flown.where(~inside)
+        out = done if out is None else out.unionByName(done)
+        level, largest = level + 1, 2 * -(-largest // bucket_rows)  # a bucket leaves two rows at most
+        buckets = -(-largest // bucket_rows)
+        rows = flown.where(inside).withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), "mix"), F.lit(buckets)))
+    out = out.unionByName(flown).withColumn("copies", (F.col("whole") + F.col("p")).cast("long"))
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
