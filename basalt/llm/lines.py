@@ -26,7 +26,7 @@ from .common import Workspace, join_on, table
 from .links import BLOCK_ROWS, KEY, components, dealt, grouped, verify
 from .words import Block, blocks, mix
 
-THRESHOLD, BUCKETS, CHUNK_BUCKETS, HOT_ROWS, PAIRS_AT_ONCE = 0.8, 1 << 20, 1 << 12, 4096, 1 << 21
+THRESHOLD, BUCKETS, CHUNK_BUCKETS, HOT_ROWS, PAIRS_AT_ONCE = 0.8, 1 << 20, 1 << 12, 4096, 1 << 18
 COLUMNS = ["token", "id", "meta", "x", "y", "uid", "doc_id"]
 #: meta of a line's row is -1 - its number, of a document's row DOC, of a posting size << 32 | position
 DOC = -(1 << 62)
