@@ -8,8 +8,8 @@ left of both lines after the shared word must suffice); and a 128-bit parity map
 differing bits are a lower bound of the differing words. The components of what is left are verified on the
 whole sets, and a line goes if an earlier line, by (doc_id, line number), matches it.
 
-Skew: equal lines share a key and are counted before the shuffle; a word whose postings exceed HOT_ROWS is passed on and
-cut into blocks that meet pairwise in cells. Postings hold 64-bit ids, which only bring candidates
+Skew: equal lines are posted once by a task, and once after the shuffle; a word whose distinct postings exceed HOT_ROWS
+is passed on and cut into blocks that meet pairwise in cells. Postings hold 64-bit ids, which only bring candidates
 together; verification and results go by 128-bit keys.
 """
 
@@ -26,7 +26,7 @@ from .common import Workspace, join_on, table
 from .links import BLOCK_ROWS, KEY, components, dealt, grouped, verify
 from .words import Block, blocks, mix
 
-THRESHOLD, BUCKETS, CHUNK_BUCKETS, HOT_ROWS, PAIRS_AT_ONCE = 0.8, 1 << 20, 1 << 12, 4096, 1 << 18
+THRESHOLD, BUCKETS, CHUNK_BUCKETS, HOT_ROWS, PAIRS_AT_ONCE, SEEN = 0.8, 1 << 20, 1 << 12, 4096, 1 << 18, 1 << 20
 COLUMNS = ["token", "id", "meta", "x", "y", "uid", "doc_id"]
 #: meta of a line's row is -1 - its number, of a document's row DOC, of a posting size << 32 | position
 DOC = -(1 << 62)
@@ -109,6 +109,7 @@ def _posted(rows: DataFrame, rank, threshold: float) -> DataFrame:
     """COLUMNS: a row per document, per line with words, and per line and word of its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             uid, doc = batch.column(0).to_numpy(), batch.column(1)
             for b in blocks(batch.column(2)):
@@ -124,12 +125,17 @@ def _posted(rows: DataFrame, rank, threshold: float) -> DataFrame:
                 spread = mix((s.lo ^ (own[s.row] << 20) ^ s.number).view(np.uint64)).view(np.int64)
                 z = np.zeros(len(n), np.int64)
                 yield _batch([spread, s.lo, -1 - s.number, s.hi, z, own[s.row]], ids.take(pa.array(s.row)))
+                ids, first = np.unique(s.lo, return_index=True)
+                new = np.array([k not in seen for k in ids.tolist()], dtype=bool)
+                if len(seen) < SEEN:  # beyond that lines are posted again, and dropped after the shuffle
+                    seen.update(ids[new].tolist())
+                fresh = np.sort(first[new])
                 bit = np.uint64(1) << (s.words & np.uint64(63))
                 left = (s.words >> np.uint64(6)) & np.uint64(1) == 0
                 x = np.bitwise_xor.reduceat(np.where(left, bit, np.uint64(0)), s.at[:-1]).view(np.int64)
                 y = np.bitwise_xor.reduceat(np.where(left, np.uint64(0), bit), s.at[:-1]).view(np.int64)
-                p = prefix_sizes(n, threshold)
-                of = np.repeat(np.arange(len(p)), p)
+                p = prefix_sizes(n[fresh], threshold)
+                of = np.repeat(fresh, p)
                 pos = np.arange(len(of)) - np.repeat(np.cumsum(p) - p, p)
                 z = np.zeros(len(of), np.int64)
                 yield _batch([s.words[s.at[of] + pos].view(np.int64), s.lo[of], (n[of] << 32) | pos, x[of], y[of], z], pa.nulls(len(of), pa.int64()))
@@ -203,7 +209,7 @@ def _edges(posted: DataFrame, threshold: float) -> DataFrame:
 
     def postings(batches: Iterator[pa.RecordBatch], out: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only postings; of the word that a batch ends in, what exceeds HOT_ROWS goes to out, and so does the rest of it."""
-        hot, token, held = None, None, 0
+        hot, token, held, last = None, None, 0, (None, None)
         for batch in batches:
             meta = batch.column("meta").to_numpy()
             if (meta < 0).any():
@@ -211,7 +217,14 @@ def _edges(posted: DataFrame, threshold: float) -> DataFrame:
                 batch = batch.filter(pa.array(meta >= 0))
             if not len(batch):
                 continue
-            tokens = batch.column("token").to_numpy()
+            tokens, ids = batch.column("token").to_numpy(), batch.column("id").to_numpy()
+            new = np.ones(len(batch), dtype=bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
+            new[0] = (tokens[0], ids[0]) != last
+            last = (tokens[-1], ids[-1])
+            batch, tokens = batch.filter(pa.array(new)), tokens[new]
+            if not len(batch):
+                continue
             if hot is not None:
                 n = int(np.searchsorted(tokens, hot, "right"))
                 out.append(tag(batch.slice(0, n), "hot"))
@@ -241,7 +254,7 @@ def _edges(posted: DataFrame, threshold: float) -> DataFrame:
             out.clear()
         yield from out
 
-    cells = posted.repartition("token").sortWithinPartitions("token", "meta")
+    cells = posted.repartition("token").sortWithinPartitions("token", "meta", "id")
     return cells.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS) + ", kind string")
 
 
