@@ -88,7 +88,8 @@ class Sets:
         self.row = np.searchsorted(b.offsets, begin[own], "right") - 1
         start = np.searchsorted(begin, b.offsets[:-1])
         self.number = own - start[self.row]
-        self.n_lines = np.where(np.diff(b.offsets) > 0, np.diff(np.append(start, len(begin))), 0)
+        feeds = np.searchsorted(np.flatnonzero(b.buf == 10), b.offsets)
+        self.n_lines = np.diff(feeds) + (np.diff(b.offsets) > 0)
         if len(first):
             self.lo = mix(np.add.reduceat(mix(self.words ^ _LO), first)).view(np.int64)
             self.hi = mix(np.add.reduceat(mix(self.words ^ _HI), first)).view(np.int64)
