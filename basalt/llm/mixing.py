@@ -75,7 +75,7 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _flown(land: bool, seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["mix", "doc_id", "size"], kind="stable", na_position="first")
+        rows = rows.sort_values(["mix", "size", "doc_id"], kind="stable", na_position="first")
         first = rows.iloc[0]
         name = f"{seed}|{first['source']}|{first['bucket']}|{land}"
         size = rows["size"].to_numpy()
@@ -85,9 +85,9 @@ def _flown(land: bool, seed: int):
     return run
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, hash_col: str) -> DataFrame:
     """doc_id, source, size (runs of other than ASCII white space; null: 0), mix (a seeded hash that orders rows)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("mix"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col(hash_col)).alias("mix"), F.col(text_col).cast("string").alias("text"))
     schema = rows.drop("text").schema.add("size", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,15 +116,15 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     return per.select("source", "docs", "source_size", F.least("cap", F.max("level").over(whole) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", hash_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, size, source, source_size, target, copies, taken = copies * size.
 
     Null texts have size 0, null sources are one source. A source without words has target 0 and is taken 0
-    times. Runs agree: order and draws come from hashes of doc_id. Rows that repeat an id are rows of their own; equal ones are
+    times. Runs agree: order and draws come from hashes of doc_id (or of hash_col, if given). Rows that repeat an id are rows of their own; equal ones are
     interchangeable. An empty table gives no rows. Other columns are not read.
     """
     ws = Workspace(docs.sparkSession, "mix")
-    rows = ws.save(sizes(docs, id_col, text_col, source_col, seed), "sizes")
+    rows = ws.save(sizes(docs, id_col, text_col, source_col, seed, hash_col or id_col), "sizes")
     per = ws.save(targets(rows, weights, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = join_on(rows, per, ["source"]).withColumn("rate", rate)
@@ -152,8 +152,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
     ws = Workspace(docs.sparkSession, "mixed")
     held = ws.save(docs.select(F.struct("*").alias("row")).withColumn("uid", F.monotonically_increasing_id()), "rows")
-    flat = held.select("uid", F.col("row.text").alias("text"), F.col("row.source").alias("source"))
-    taken = mix(flat, id_col="uid", **options).where("copies > 0").select(F.col("doc_id").alias("uid"), "copies")
+    flat = held.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    taken = mix(flat, id_col="uid", hash_col="doc_id", **options).where("copies > 0").select(F.col("doc_id").alias("uid"), "copies")
     out = held.join(taken, "uid").select("row", F.explode(F.expr("sequence(1, copies)")))
     return out.select("row.*")
 
