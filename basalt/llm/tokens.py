@@ -173,12 +173,12 @@ class Encoder:
             self.memo.update(zip(pieces, out, strict=True))
         return out
 
-    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of some rows after each other, where each row's end) until the column's end."""
         buf, offsets = text_buffer(column)
         lo, n = 0, len(offsets) - 1
         while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, "right")) - 1)
             part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             if self.cuts:
                 yield lo, *self._block(part, off)
@@ -241,11 +241,11 @@ def _encoder(tokenizer_json: str) -> Encoder:
     return _encoders[key]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, block_bytes: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and write them in ascending doc_id order (nulls first; equal ids by text), a segment per file.
 
     The order is a range sort, so no task holds more than a range; a segment has about segment_ids ids, or ends with the
-    block of about a MB of text, or the one longer document, in which it reaches them. A null text has its end id alone. An empty table writes no segment.
+    block of about block_bytes of text, or the one longer document, in which it reaches them. A null text has its end id alone. An empty table writes no segment.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())  # a vocabulary file: a few MB, whatever the corpus
@@ -262,7 +262,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
         for batch in batches:
-            for lo, got, ends in encoder.encode(batch.column(1)):
+            for lo, got, ends in encoder.encode(batch.column(1), block_bytes):
                 docs_ += batch.column(0).slice(lo, len(ends)).to_pylist()
                 ids.append(np.insert(got, ends, end_id))
                 sizes.append(np.diff(ends, prepend=0) + 1)
