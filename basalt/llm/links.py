@@ -31,7 +31,7 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node in edges (a, b); root is the component's smallest node.
 
     Large-star and small-star rounds until the edges stay as they are. Smallest neighbours are aggregated
-    before the shuffle, and joins on hubs can be split. Each round's edges are a saved table.
+    before the shuffle and saved, so that both sides of a join have shuffles of their own and a hub's can be split.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -44,15 +44,17 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     seen, k = mark(now), 0
     while seen[0]:
         near = both(now)
-        least = near.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select("a", F.least("a", "m").alias("m"))
+        least = ws.save(near.groupBy("a").agg(F.min("b").alias("m")), f"{name}{k}large")
+        least = least.select("a", F.least("a", "m").alias("m")).hint("merge")
         large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        large = ws.save(large, f"{name}{k}stars")
+        least = ws.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}{k}small")
+        small = large.join(least.hint("merge"), "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         k += 1
         after = ws.save(small, f"{name}{k}")
-        ws.drop(f"{name}{k - 1}")
+        for x in ("", "large", "stars", "small"):
+            ws.drop(f"{name}{k - 1}{x}")
         now, before, seen = after, seen, mark(after)
         if seen == before:
             break
