@@ -27,8 +27,9 @@ from .links import BLOCK_ROWS, KEY, components, dealt, grouped, verify
 from .words import Block, blocks, mix
 
 THRESHOLD, BUCKETS, CHUNK_BUCKETS, HOT_ROWS, PAIRS_AT_ONCE, SEEN = 0.8, 1 << 20, 1 << 12, 4096, 1 << 18, 1 << 20
-COLUMNS = ["token", "id", "meta", "x", "y", "uid", "doc_id"]
-#: meta of a line's row is -1 - its number, of a document's row DOC, of a posting size << 32 | position
+#: A posting has a word's hash, a line's 64-bit id, size << 32 | position, and the parity map; a line's row its document's
+#: number, both halves of its key, -1 - its number in the text, and doc_id; a document's row DOC, the number of lines and doc_id.
+COLUMNS = ["token", "id", "meta", "x", "y"]
 DOC = -(1 << 62)
 _LO, _HI = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
@@ -107,25 +108,21 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def _posted(rows: DataFrame, rank, threshold: float) -> DataFrame:
-    """COLUMNS: a row per document, per line with words, and per line and word of its prefix."""
+    """COLUMNS: a row per document, per line with words, and per line and word of its prefix. A text's own rows go by its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            uid, doc = batch.column(0).to_numpy(), batch.column(1)
+            uid, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for b in blocks(batch.column(2)):
                 s = Sets(b, rank.value)
                 n = np.diff(s.at)
-                own = uid[b.lo : b.hi]
-                ids = doc.slice(b.lo, b.hi - b.lo)
-                spread = mix(own.astype(np.uint64)).view(np.int64)
+                own, ids = uid[b.lo : b.hi], doc[b.lo : b.hi]
                 z = np.zeros(len(own), np.int64)
-                yield _batch([spread, z, z + DOC, s.n_lines, z, own], ids)
+                yield _batch([own, z, z + DOC, s.n_lines, ids])
                 if not len(n):
                     continue
-                spread = mix((s.lo ^ (own[s.row] << 20) ^ s.number).view(np.uint64)).view(np.int64)
-                z = np.zeros(len(n), np.int64)
-                yield _batch([spread, s.lo, -1 - s.number, s.hi, z, own[s.row]], ids.take(pa.array(s.row)))
+                yield _batch([own[s.row], s.lo, -1 - s.number, s.hi, ids[s.row]])
                 ids, first = np.unique(s.lo, return_index=True)
                 new = np.array([k not in seen for k in ids.tolist()], dtype=bool)
                 if len(seen) < SEEN:  # beyond that lines are posted again, and dropped after the shuffle
@@ -138,14 +135,13 @@ def _posted(rows: DataFrame, rank, threshold: float) -> DataFrame:
                 p = prefix_sizes(n[fresh], threshold)
                 of = np.repeat(fresh, p)
                 pos = np.arange(len(of)) - np.repeat(np.cumsum(p) - p, p)
-                z = np.zeros(len(of), np.int64)
-                yield _batch([s.words[s.at[of] + pos].view(np.int64), s.lo[of], (n[of] << 32) | pos, x[of], y[of], z], pa.nulls(len(of), pa.int64()))
+                yield _batch([s.words[s.at[of] + pos].view(np.int64), s.lo[of], (n[of] << 32) | pos, x[of], y[of]])
 
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
 
 
-def _batch(longs: list[np.ndarray], doc_id: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in longs), doc_id], names=COLUMNS)
+def _batch(longs: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in longs], names=COLUMNS)
 
 
 def candidates(at: np.ndarray, size: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, block: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -198,41 +194,44 @@ def _met(t: pa.Table, at: np.ndarray, block: np.ndarray | None, threshold: float
     x, y = (t.column(c).to_numpy().view(np.uint64) for c in "xy")
     a, b = stars(ids, list(candidates(at, meta >> 32, meta & 0xFFFFFFFF, x, y, block, threshold)))
     z = np.zeros(len(a), np.int64)
-    return _batch([z, a, z, b, z, z], pa.nulls(len(a), pa.int64()))
+    return _batch([z, a, z, b, z])
+
+
+def _tidied(t: pa.Table, at: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    """Each group's rows by size, and one of those that are equal lines."""
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    meta, ids = t.column("meta").to_numpy(), t.column("id").to_numpy()
+    order = np.lexsort((ids, meta, of))
+    of, ids = of[order], ids[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (ids[1:] != ids[:-1])
+    return t.take(pa.array(order[new])), np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=len(at) - 1))])
 
 
 def _edges(posted: DataFrame, threshold: float) -> DataFrame:
-    """kind 'edge' (id, x), 'hot' postings of words with more than HOT_ROWS, 'row' for what isn't a posting."""
+    """kind 1: an edge (id, x); 2: postings of words with more than HOT_ROWS; 0: what isn't a posting."""
 
-    def tag(b: pa.RecordBatch | pa.Table, kind: str) -> pa.RecordBatch:
-        b = b if isinstance(b, pa.RecordBatch) else pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in b.columns], names=b.column_names)
-        return b.append_column("kind", pa.array([kind] * len(b), pa.string()))
+    def tag(t: pa.RecordBatch | pa.Table, kind: int) -> pa.RecordBatch:
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(t), kind, np.int32))], names=[*COLUMNS, "kind"])
 
     def postings(batches: Iterator[pa.RecordBatch], out: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only postings; of the word that a batch ends in, what exceeds HOT_ROWS goes to out, and so does the rest of it."""
-        hot, token, held, last = None, None, 0, (None, None)
+        hot, token, held = None, None, 0
         for batch in batches:
             meta = batch.column("meta").to_numpy()
             if (meta < 0).any():
-                out.append(tag(batch.filter(pa.array(meta < 0)), "row"))
+                out.append(tag(batch.filter(pa.array(meta < 0)), 0))
                 batch = batch.filter(pa.array(meta >= 0))
-            if not len(batch):
-                continue
-            tokens, ids = batch.column("token").to_numpy(), batch.column("id").to_numpy()
-            new = np.ones(len(batch), dtype=bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
-            new[0] = (tokens[0], ids[0]) != last
-            last = (tokens[-1], ids[-1])
-            batch, tokens = batch.filter(pa.array(new)), tokens[new]
-            if not len(batch):
-                continue
+            tokens = batch.column("token").to_numpy()
             if hot is not None:
                 n = int(np.searchsorted(tokens, hot, "right"))
-                out.append(tag(batch.slice(0, n), "hot"))
+                out.append(tag(batch.slice(0, n), 2))
                 batch, tokens = batch.slice(n), tokens[n:]
-                if not len(batch):
-                    continue
-                hot = None
+                hot = hot if not len(batch) else None
+            if not len(batch):
+                continue
             lo = int(np.searchsorted(tokens, tokens[-1], "left"))
             held = len(tokens) - lo + (held if token == tokens[-1] and lo == 0 else 0)
             token = tokens[-1]
@@ -246,20 +245,23 @@ def _edges(posted: DataFrame, threshold: float) -> DataFrame:
             size = np.diff(at)
             if (size > HOT_ROWS).any():
                 for k in np.flatnonzero(size > HOT_ROWS):
-                    out.append(tag(t.slice(int(at[k]), int(size[k])), "hot"))
+                    out.append(tag(t.slice(int(at[k]), int(size[k])), 2))
                 few = np.repeat(size <= HOT_ROWS, size)
                 t, size = t.filter(pa.array(few)), size[size <= HOT_ROWS]
                 at = np.concatenate([[0], np.cumsum(size)])
-            out.append(tag(_met(t, at, None, threshold), "edge"))
+            if len(t):
+                t, at = _tidied(t, at)
+                out.append(tag(_met(t, at, None, threshold), 1))
             yield from out
             out.clear()
         yield from out
 
-    cells = posted.repartition("token").sortWithinPartitions("token", "meta", "id")
-    return cells.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS) + ", kind string")
+    cells = posted.repartition("token").sortWithinPartitions("token")
+    return cells.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS) + ", kind int")
 
 
 def _hot_edges(hot: DataFrame, threshold: float) -> DataFrame:
+    hot = hot.dropDuplicates(["token", "id"])
     many = hot.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     rows = hot.join(many, "token").select("token", "id", "meta", "x", "y", "blocks", F.col("id").alias("node"))
     cells = dealt(rows, ["token"], "blocks").sortWithinPartitions("token", "cell", "meta").select("token", "cell", "block", "id", "meta", "x", "y")
@@ -313,11 +315,11 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rank = spark.sparkContext.broadcast(_ranks(_counted(rows, ws)))  # 2 MB, whatever the corpus
     met = ws.save(_edges(_posted(rows, rank, threshold), threshold), "met")
-    hot = ws.save(_hot_edges(met.where("kind = 'hot'"), threshold), "hot")
-    edges = met.where("kind = 'edge'").select(F.col("id").alias("a"), F.col("x").alias("b")).union(hot)
+    hot = ws.save(_hot_edges(met.where("kind = 2"), threshold), "hot")
+    edges = met.where("kind = 1").select(F.col("id").alias("a"), F.col("x").alias("b")).union(hot)
     inside = components(ws, edges, "groups")
 
-    lines = met.where(f"kind = 'row' and meta > {DOC}").select("uid", "doc_id", (-1 - F.col("meta")).alias("line"), F.col("id").alias("lo"), F.col("x").alias("hi"))
+    lines = met.where(f"kind = 0 and meta > {DOC}").select(F.col("token").alias("uid"), F.col("y").alias("doc_id"), (-1 - F.col("meta")).alias("line"), F.col("id").alias("lo"), F.col("x").alias("hi"))
     firsts = ws.save(lines.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "line")).alias("first")), "firsts")
     wanted = firsts.join(inside.withColumnRenamed("node", "lo"), "lo").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line", "root")).alias("want"))
     texts = rows.select("doc_id", "text").join(wanted, "doc_id")
@@ -328,7 +330,7 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     judged = lines.join(ws.save(cut, "cut"), ["lo", "hi"])
     gone = F.struct("doc_id", "line") > F.col("cut")
     per = judged.select("uid", "n_links", F.when(gone, F.col("line")).alias("gone")).groupBy("uid").agg(F.sum("n_links").alias("n_links"), F.sort_array(F.collect_list("gone")).alias("removed_lines"))
-    whole = met.where(f"kind = 'row' and meta = {DOC}").select("uid", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")).alias("doc_id"), F.col("x").alias("n_lines"))
+    whole = met.where(f"kind = 0 and meta = {DOC}").select(F.col("token").alias("uid"), F.when(F.col("y") > -(1 << 63), F.col("y")).alias("doc_id"), F.col("x").alias("n_lines"))
     out = whole.join(per, "uid", "left")
     removed = F.coalesce("removed_lines", F.array().cast("array<long>"))
     return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"), removed.alias("removed_lines"))
