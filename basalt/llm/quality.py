@@ -2,8 +2,9 @@
 
 Statistics are counted with numpy over Arrow buffers, whole texts, nothing else of a row. The trees are
 trained on the driver from a sample of at most about TRAIN_ROWS labelled rows, chosen by a hash of doc_id, and
-flattened into arrays; scoring walks all rows of a batch down a tree at once. Documents are never shuffled: a table of
-statistics (a few hundred bytes a row) is joined with the labels, and scoring runs where a document is read.
+flattened into arrays; scoring walks all rows of a batch down a tree at once. Documents are never shuffled: the sampled
+ids are broadcast to the scan, the sample's statistics (a few hundred bytes a row) move, and scoring runs where a
+document is read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .common import Workspace, join_on, ship, table
+from .common import Workspace, ship, table
 from .words import blocks, shingles
 
 TRAIN_ROWS, FOLDS, THRESHOLD = 30_000, 5, 0.3
@@ -144,9 +145,10 @@ def fold(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
     """Trees from documents with a label outside fold 0.
 
-    Statistics are of all documents with an id outside fold 0; of the labelled ones at most about train_rows are
-    collected, those whose hash is under the share that this is of all. Null labels are none; of several labels
-    of a document the largest counts. Without labelled rows every score is 1/2.
+    At most about train_rows labelled ids are sampled, those whose hash is under the share that this is of all. Their
+    table, which this bounds, is broadcast, so that texts stay where they are read and only sampled ones are counted.
+    Null labels are none; of several labels of a document the largest counts. Of rows that repeat an id one counts,
+    that with the smallest statistics, so that no id collects more than a row. Without labelled rows every score is 1/2.
     """
     ws = Workspace(docs.sparkSession, "quality")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(fold("doc_id") != 0)
@@ -163,9 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
     n = marks.count()
     if n > train_rows:
         marks = marks.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_rows / n))
-    seen = ws.save(join_on(rows.mapInArrow(run, schema), marks, ["doc_id"]).select("x", "y", F.xxhash64("doc_id").alias("order")), "statistics")
+    marks = ws.save(marks, "marks")
+    counted = rows.join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, schema)
+    one = counted.groupBy("doc_id").agg(F.min("x").alias("x"))
+    seen = ws.save(one.join(F.broadcast(marks), "doc_id").select("x", "y", F.xxhash64("doc_id").alias("order")), "statistics")
     got = seen.toPandas().sort_values("order", kind="stable") if n else None
-    ws.drop("statistics")
+    for name in ("marks", "statistics"):
+        ws.drop(name)
     x = np.array(got["x"].tolist(), dtype=np.float32) if got is not None and len(got) else np.zeros((0, len(FEATURES)), np.float32)
     return train(x, got["y"].to_numpy(dtype=float) if len(x) else np.zeros(0))
 

@@ -274,5 +274,7 @@ def test_quality(spark, docs, empty, odd_ids):
     assert quality.keep(docs, trees, threshold=0.0).columns == docs.columns and quality.keep(docs, trees, threshold=2.0).isEmpty()
     nothing = quality.fit(docs, labels.where("false"))
     assert {r["score"] for r in quality.score(docs, nothing).collect()} == {0.5}
+    twice = quality.fit(table.union(table), labels)  # repeated rows change nothing
+    assert np.array_equal(twice.threshold, trees.threshold) and np.array_equal(twice.value, trees.value)
     again = quality.fit(table, labels.union(labels).withColumn("quality", F.when(F.col("doc_id") % 97 != 0, F.col("quality"))))
     assert quality.score(table, again).where("predicted = 0").count() > 0
