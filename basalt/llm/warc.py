@@ -6,8 +6,8 @@ gzipped, with its commit protocol; they are read with Spark's text reader, one t
 Content-Length as they stream by, so memory holds a batch and a record but never an archive.
 
 Skew: payloads move once, in the join that tells a page whether its payload was seen before; the
-smallest page_id of a payload is aggregated before its shuffle, and no operator above the join needs a
-key's rows together, so adaptive execution splits hot payloads.
+smallest page_id of a repeated payload is aggregated before its shuffle and saved, so that both sides of the join
+have shuffles of their own, and no operator above it needs a key's rows together: adaptive execution splits hot payloads.
 """
 
 from __future__ import annotations
@@ -59,9 +59,11 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = D
     # one urn per row; of the three records each appends its own suffix
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload")})
-    first = rows.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"))
+    ws = Workspace(pages.sparkSession, "payloads")
+    first = rows.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = ws.save(first.where("n > 1"), "repeated")
     rows = rows.join(first, ["sha1", "bytes"], "left").withColumn("urn", F.expr("uuid()"))
-    again = F.coalesce(~F.col("first").eqNullSafe(F.col("page_id")), F.lit(False)) & (F.col("bytes") >= min_bytes)
+    again = F.col("n").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     url = F.col("url")
     for plain in [" ", "\r", "\n", "\t", "\0"]:
         url = F.replace(url, F.lit(plain), F.lit(f"%{ord(plain):02X}"))
@@ -87,6 +89,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = D
     )
     records = rows.select(F.explode(records).alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    ws.drop("repeated")
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r?\n")
