@@ -260,9 +260,9 @@ def _edges(posted: DataFrame, threshold: float) -> DataFrame:
     return cells.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS) + ", kind int")
 
 
-def _hot_edges(hot: DataFrame, threshold: float) -> DataFrame:
-    hot = hot.dropDuplicates(["token", "id"])
-    many = hot.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+def _hot_edges(ws: Workspace, hot: DataFrame, threshold: float) -> DataFrame:
+    hot = ws.save(hot.dropDuplicates(["token", "id"]), "hot_postings")
+    many = ws.save(hot.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "hot_words")
     rows = hot.join(many, "token").select("token", "id", "meta", "x", "y", "blocks", F.col("id").alias("node"))
     cells = dealt(rows, ["token"], "blocks").sortWithinPartitions("token", "cell", "meta").select("token", "cell", "block", "id", "meta", "x", "y")
 
@@ -315,7 +315,9 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rank = spark.sparkContext.broadcast(_ranks(_counted(rows, ws)))  # 2 MB, whatever the corpus
     met = ws.save(_edges(_posted(rows, rank, threshold), threshold), "met")
-    hot = ws.save(_hot_edges(met.where("kind = 2"), threshold), "hot")
+    hot = ws.save(_hot_edges(ws, met.where("kind = 2"), threshold), "hot")
+    for x in ("hot_postings", "hot_words"):
+        ws.drop(x)
     edges = met.where("kind = 1").select(F.col("id").alias("a"), F.col("x").alias("b")).union(hot)
     inside = components(ws, edges, "groups")
 

@@ -151,7 +151,8 @@ def verify(ws: Workspace, members: DataFrame, threshold: float, name: str) -> tu
     """
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("items")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES))
-    cut = members.join(sizes.select("root", F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")), "root")
+    sizes = ws.save(sizes.select("root", F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")), f"{name}sizes")  # see components
+    cut = members.join(sizes, "root")
     cells = dealt(cut.select("root", "node", "items", "doc", "line", "blocks"), ["root"], "blocks").select("root", "cell", "block", "node", "items", "doc", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,5 +193,6 @@ def verify(ws: Workspace, members: DataFrame, threshold: float, name: str) -> tu
             yield pa.RecordBatch.from_arrays([a, b, *(pa.array(np.concatenate([x, pad])) for x in (links[some], doc[where], line[where]))], names=["a", "b", "links", "doc", "line"])
 
     found = ws.save(cells.mapInArrow(run, "a binary, b binary, links long, doc long, line long"), name)
+    ws.drop(f"{name}sizes")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"), F.min(F.struct("doc", "line")).alias("first"))
     return counts, found.where("b is not null").select("a", "b")

@@ -94,11 +94,11 @@ def _signed(rows: DataFrame) -> DataFrame:
     return out.withColumn("keys", F.when(F.col("keys").isNotNull(), band))
 
 
-def _candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Spanning edges (a, b) of the pairs that share a bucket and outlast the pruning."""
+def _candidates(ws: Workspace, nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Spanning edges (a, b) of the pairs that share a bucket and outlast the pruning. Bucket sizes are saved, so that their join can be split."""
     at = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
     shared = at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = shared.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    shared = ws.save(shared.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "shared")
     members = at.join(shared, "key").join(nodes.select("node", "sig"), "node").select("key", "node", "sig", "blocks")
     cells = dealt(members, ["key"], "blocks").select("key", "cell", "block", "node", "sig")
     steps = [(n, least_matches(n, threshold, tolerance)) for n in range(STEP, HASHES + 1, STEP)]
@@ -160,7 +160,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     signed = ws.save(_signed(rows), "signed")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     nodes = ws.save(nodes, "nodes")
-    edges = ws.save(_candidates(nodes, threshold, tolerance), "candidates")
+    edges = ws.save(_candidates(ws, nodes, threshold, tolerance), "candidates")
     inside = ws.save(components(ws, edges, "groups"), "inside")
     wanted = inside.join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
     texts = join_on(rows, wanted, ["node", "doc_id"]).dropDuplicates(["node"])
@@ -169,9 +169,10 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     root = components(ws, links, "classes")
     found = ws.save(counts.drop("first").join(root, "node", "left"), "found")
     classes = nodes.select("node", "rep", "n_copies").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
+    classes = ws.save(classes, "classed")
+    of = ws.save(classes.groupBy("root").agg(F.min("rep").alias("class_id")), "heads")
     classes = ws.save(classes.join(of, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "result")
-    for x in ("candidates", "inside", "shingled", "verified", "found", "nodes"):
+    for x in ("shared", "candidates", "inside", "shingled", "verified", "found", "nodes", "classed", "heads"):
         ws.drop(x)
     return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "n_links", "n_copies", "node")
 
