@@ -1,7 +1,8 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words. Lines with n words can only reach Jaccard similarity t with lines that share one of
-their n - ceil(t n) + 1 rarest words, so each line is posted under these, its prefix. Words are ordered by counts over
+their n - ceil(t n) + 1 rarest words, so each line is posted under these, its prefix. Lines of so few words that no
+other set can be similar (n / (n + 1) < t) aren't posted. Words are ordered by counts over
 the whole corpus in a fixed table of 2^20 buckets (any one order makes the filter exact; a bucket that
 words share only makes it weaker). Postings of a word meet under four exact filters: length; position (what is
 left of both lines after the shared word must suffice); and a 128-bit parity map of the words, whose
@@ -128,6 +129,7 @@ def _posted(rows: DataFrame, rank, threshold: float) -> DataFrame:
                 if len(seen) < SEEN:  # beyond that lines are posted again, and dropped after the shuffle
                     seen.update(ids[new].tolist())
                 fresh = np.sort(first[new])
+                fresh = fresh[n[fresh] >= threshold * (n[fresh] + 1) - 1e-9]  # a word more, the nearest that another set can be
                 bit = np.uint64(1) << (s.words & np.uint64(63))
                 left = (s.words >> np.uint64(6)) & np.uint64(1) == 0
                 x = np.bitwise_xor.reduceat(np.where(left, bit, np.uint64(0)), s.at[:-1]).view(np.int64)
@@ -322,13 +324,14 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     inside = components(ws, edges, "groups")
 
     lines = met.where(f"kind = 0 and meta > {DOC}").select(F.col("token").alias("uid"), F.col("y").alias("doc_id"), (-1 - F.col("meta")).alias("line"), F.col("id").alias("lo"), F.col("x").alias("hi"))
-    firsts = ws.save(lines.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "line")).alias("first")), "firsts")
+    firsts = ws.save(lines.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
     wanted = firsts.join(inside.withColumnRenamed("node", "lo"), "lo").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line", "root")).alias("want"))
     texts = rows.select("doc_id", "text").join(wanted, "doc_id")
     items = ws.save(_items(texts, rank).dropDuplicates(["node"]), "items")
     counts, _ = verify(ws, items, threshold, "verified")
     found = _halves(counts).select("lo", "hi", "n_links", F.struct(F.col("first.doc").alias("doc_id"), F.col("first.line").alias("line")).alias("other"))
-    cut = join_on(firsts, found, ["lo", "hi"], "left").select("lo", "hi", F.least("first", "other").alias("cut"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    cut = join_on(firsts, found, ["lo", "hi"], "left").where("n > 1 or n_links > 0")  # others stay
+    cut = cut.select("lo", "hi", F.least("first", "other").alias("cut"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     judged = lines.join(ws.save(cut, "cut"), ["lo", "hi"])
     gone = F.struct("doc_id", "line") > F.col("cut")
     per = judged.select("uid", "n_links", F.when(gone, F.col("line")).alias("gone")).groupBy("uid").agg(F.sum("n_links").alias("n_links"), F.sort_array(F.collect_list("gone")).alias("removed_lines"))
