@@ -157,7 +157,7 @@ def verify(ws: Workspace, members: DataFrame, threshold: float, name: str) -> tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in grouped(batches, 2):
-            node, block = fixed(t.column(3), KEY), t.column(2).to_numpy()
+            node, cell, block = fixed(t.column(3), KEY), t.column(1).to_numpy(), t.column(2).to_numpy()
             doc, line = t.column(5).to_numpy(), t.column(6).to_numpy()
             rank = np.empty(len(t), dtype=np.int64)
             order = np.lexsort((line, doc))
@@ -169,7 +169,9 @@ def verify(ws: Workspace, members: DataFrame, threshold: float, name: str) -> tu
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
-                crossing = block[lo:hi].min() != block[lo:hi].max()
+                crossing = cell[lo] >> 31 != cell[lo] & 0x7FFFFFFF  # not from the rows: the other block may be empty
+                if crossing and block[lo:hi].min() == block[lo:hi].max():
+                    continue
                 label = np.arange(hi - lo)
                 for i, js in overlaps([flat[off[k] : off[k + 1]] for k in range(lo, hi)], threshold):
                     if crossing:

@@ -88,6 +88,17 @@ def test_near_duplicates(spark, docs, empty, odd_ids, monkeypatch):
     assert near.representatives(odd_ids).count() == 3
 
 
+def test_links_with_empty_blocks(spark, monkeypatch):
+    base = [f"b{k}" for k in range(60)]
+    by_id = {10 * g + k: " ".join([f"g{g}", *base, *([f"new{k}"] if k else [])]) for g in range(8) for k in range(2 + g % 2)}
+    by_id = {d: t.replace("b", f"b{d // 10}x") for d, t in by_id.items()}
+    df = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+    want = brute_force(by_id)
+    assert {x[1] for x in want.values()} == {1, 2}
+    monkeypatch.setattr("basalt.llm.links.BLOCK_BYTES", 200)  # more blocks than nodes, so that most are empty
+    assert {r[0]: tuple(r)[1:4] for r in near.similar(df).collect()} == want
+
+
 def test_posterior():
     least = [near.least_matches(n) for n in range(16, 97, 16)]
     assert least == sorted(least) and 0 < least[0] < 0.8 * 16 and least[-1] < 0.8 * 96
