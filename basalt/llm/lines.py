@@ -74,10 +74,11 @@ class Sets:
     def __init__(self, b: Block, rank: np.ndarray):
         begin, line = _line_of(b)
         q = rank[(b.hashes >> np.uint64(44)).astype(np.int64)]
+        packs = len(begin) <= 1 << 20  # else a line's number doesn't fit above its words' ranks
         major = (line.astype(np.uint64) << np.uint64(44)) | (q.astype(np.uint64) << np.uint64(32)) | (b.hashes >> np.uint64(32))
         order = np.argsort(major, kind="stable")
         h, m = b.hashes[order], major[order]
-        if len(h) and bool(((m[1:] == m[:-1]) & (h[1:] != h[:-1])).any()):
+        if not packs or len(h) and bool(((m[1:] == m[:-1]) & (h[1:] != h[:-1])).any()):
             order = np.lexsort((b.hashes, q, line))
             h = b.hashes[order]
         line = line[order]

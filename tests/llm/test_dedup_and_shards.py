@@ -2,9 +2,12 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from llm_helpers import texts, words
 
 from basalt.llm import exact_dedup, lines, near, sharding
+from basalt.llm.words import blocks
 
 
 def test_radix_groups(docs, empty, odd_ids):
@@ -134,3 +137,11 @@ def test_lines(docs, empty, odd_ids, monkeypatch):
     monkeypatch.undo()
     assert lines.matches(empty).collect() == []
     assert sorted(((r["doc_id"], r["n_removed"]) for r in lines.matches(odd_ids).collect()), key=repr) == sorted([(None, 0)] * 2 + [(1, 0)] * 2 + [(2, 0)] * 2, key=repr)
+
+
+def test_sets_of_more_than_2_20_lines():
+    n = (1 << 20) + 50
+    b = next(blocks(pa.array(["".join(f"a{k % 7} b{k % 11}\n" for k in range(n))])))
+    s = lines.Sets(b, (np.arange(1 << 20) % 4096).astype(np.uint16))
+    assert s.number.tolist() == list(range(n)) and (np.diff(s.at) == 2).all()
+    assert len(set(zip(s.lo.tolist(), s.hi.tolist(), strict=True))) == 77
