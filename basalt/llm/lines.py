@@ -29,7 +29,7 @@ from .words import Block, blocks, mix
 
 THRESHOLD, BUCKETS, CHUNK_BUCKETS, HOT_ROWS, PAIRS_AT_ONCE, SEEN = 0.8, 1 << 20, 1 << 12, 4096, 1 << 18, 1 << 20
 #: A posting has a word's hash, a line's 64-bit id, size << 32 | position, and the parity map; a line's row its document's
-#: number, both halves of its key, -1 - its number in the text, and doc_id; a document's row DOC, the number of lines and doc_id.
+#: number, both halves of its key, -1 - its number in the text, and doc_id; a document's row its number, its text's hash, DOC, the number of lines and doc_id.
 COLUMNS = ["token", "id", "meta", "x", "y"]
 DOC = -(1 << 62)
 _LO, _HI = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -115,13 +115,12 @@ def _posted(rows: DataFrame, rank, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            uid, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            uid, doc, text_hash = (batch.column(k).to_numpy() for k in (0, 1, 3))
             for b in blocks(batch.column(2)):
                 s = Sets(b, rank.value)
                 n = np.diff(s.at)
                 own, ids = uid[b.lo : b.hi], doc[b.lo : b.hi]
-                z = np.zeros(len(own), np.int64)
-                yield _batch([own, z, z + DOC, s.n_lines, ids])
+                yield _batch([own, text_hash[b.lo : b.hi], np.full(len(own), DOC), s.n_lines, ids])
                 if not len(n):
                     continue
                 yield _batch([own[s.row], s.lo, -1 - s.number, s.hi, ids[s.row]])
@@ -281,7 +280,7 @@ def _hot_edges(ws: Workspace, hot: DataFrame, threshold: float) -> DataFrame:
 
 
 def _items(texts: DataFrame, rank) -> DataFrame:
-    """node, root, items, doc, line of the wanted lines (want: array of line and root) of each text."""
+    """node, root, items, doc, line of the wanted lines (want: array of line, root and key) of each text; a line with another key than the wanted one is another text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +292,7 @@ def _items(texts: DataFrame, rank) -> DataFrame:
                 for r in range(b.hi - b.lo):
                     for w in want[b.lo + r]:
                         i = where.get((r, w["line"]))
-                        if i is not None:
+                        if i is not None and s.lo[i] == w["lo"] and s.hi[i] == w["hi"]:
                             node.append(s.lo[i].tobytes() + s.hi[i].tobytes())
                             root.append(w["root"])
                             items.append(np.sort(s.words[s.at[i] : s.at[i + 1]]).astype("<u8").tobytes())
@@ -316,6 +315,7 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     spark = docs.sparkSession
     ws = Workspace(spark, "lines")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))  # of the text, since a second reading may number rows differently
     rank = spark.sparkContext.broadcast(_ranks(_counted(rows, ws)))  # 2 MB, whatever the corpus
     met = ws.save(_edges(_posted(rows, rank, threshold), threshold), "met")
     hot = ws.save(_hot_edges(ws, met.where("kind = 2"), threshold), "hot")
@@ -325,13 +325,14 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     inside = components(ws, edges, "groups")
 
     lines = met.where(f"kind = 0 and meta > {DOC}").select(F.col("token").alias("uid"), F.col("y").alias("doc_id"), (-1 - F.col("meta")).alias("line"), F.col("id").alias("lo"), F.col("x").alias("hi"))
-    firsts = ws.save(lines.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    wanted = firsts.join(inside.withColumnRenamed("node", "lo"), "lo").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line", "root")).alias("want"))
-    texts = rows.select("doc_id", "text").join(wanted, "doc_id")
+    firsts = ws.save(lines.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "line", "uid")).alias("at"), F.count(F.lit(1)).alias("n")).select("lo", "hi", F.struct("at.doc_id", "at.line").alias("first"), "at.uid", "n"), "firsts")
+    hashes = met.where(f"kind = 0 and meta = {DOC}").select(F.col("token").alias("uid"), F.col("id").alias("hash"))
+    wanted = firsts.join(inside.withColumnRenamed("node", "lo"), "lo").groupBy("uid", "first.doc_id").agg(F.collect_list(F.struct("first.line", "root", "lo", "hi")).alias("want"))
+    texts = rows.select("doc_id", "hash", "text").join(wanted.join(hashes, "uid").drop("uid"), ["doc_id", "hash"])
     items = ws.save(_items(texts, rank).dropDuplicates(["node"]), "items")
     counts, _ = verify(ws, items, threshold, "verified")
     found = _halves(counts).select("lo", "hi", "n_links", F.struct(F.col("first.doc").alias("doc_id"), F.col("first.line").alias("line")).alias("other"))
-    cut = join_on(firsts, found, ["lo", "hi"], "left").where("n > 1 or n_links > 0")  # others stay
+    cut = join_on(firsts.drop("uid"), found, ["lo", "hi"], "left").where("n > 1 or n_links > 0")  # others stay
     cut = cut.select("lo", "hi", F.least("first", "other").alias("cut"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     judged = lines.join(ws.save(cut, "cut"), ["lo", "hi"])
     gone = F.struct("doc_id", "line") > F.col("cut")

@@ -145,3 +145,16 @@ def test_sets_of_more_than_2_20_lines():
     s = lines.Sets(b, (np.arange(1 << 20) % 4096).astype(np.uint16))
     assert s.number.tolist() == list(range(n)) and (np.diff(s.at) == 2).all()
     assert len(set(zip(s.lo.tolist(), s.hi.tolist(), strict=True))) == 77
+
+
+def test_lines_of_texts_with_equal_ids(spark):
+    rows = []
+    for d in (None, 5):
+        for g in range(12):
+            x = f"d{d}g{g}"
+            rows += [(d, "\n".join([" ".join(f"{x}w{k}" for k in range(9)), f"only {x}"])), (d, "\n\n" + " ".join(f"{x}w{k}" for k in range(10)))]
+    rows += [(9, " ".join(f"dNoneg3w{k}" for k in range(9)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in lines.matches(df).collect()), key=repr)
+    want = [r for d in (None, 5) for _ in range(12) for r in ((d, 2, 0, 1, []), (d, 3, 1, 1, [2]))]
+    assert got == sorted([*want, (9, 1, 1, 1, [0])], key=repr)
