@@ -374,6 +374,12 @@ def index_correlated_lookup(c):
     return index.fetch(index.correlated(outer, "c_custkey"), ["o_orderkey"])
 
 
+@query("SELECT c_custkey, o_orderkey FROM customer, orders WHERE c_custkey = o_custkey")
+def index_correlated_lookup_whole(c):
+    index = c.index("orders", "o_custkey")
+    return index.fetch(index.correlated(scan(c["customer"].read(), ["c_custkey"]), "c_custkey"), ["o_orderkey"])
+
+
 @query(
     "SELECT o.o_orderpriority AS prio, COUNT(*) AS n, CAST(SUM(CAST(l.l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty FROM orders o, lineitem l "
     "WHERE o.o_orderkey = l.l_orderkey AND l.l_quantity >= 4 AND l.l_orderkey > 10 GROUP BY o.o_orderpriority HAVING n > 3 ORDER BY prio DESC"

@@ -56,3 +56,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["n_nationkey", "n_name", "sum_extendedprice"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_correlated_lookup_of_whole_tables(spark, sf):
+    orders, customers = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "customer"))
+    want = orders.join(customers, orders.o_custkey == customers.c_custkey).count()
+    assert registry.queries()["index_correlated_lookup_whole"](spark, sf).count() == want > registry.queries()["index_correlated_lookup"](spark, sf).count()
