@@ -171,6 +171,11 @@ def merge_join_multi_key(c):
     return merge(left, partsupp(c), ["l_partkey", "l_suppkey"], ["ps_partkey", "ps_suppkey"], ["l_orderkey", "ps_availqty"])
 
 
+@query(PARTSUPP + "SELECT l.l_orderkey, ps.ps_availqty FROM lineitem l, partsupp ps WHERE l.l_partkey = ps.ps_partkey AND l.l_suppkey = ps.ps_suppkey")
+def merge_join_multi_key_whole(c):
+    return merge(c["lineitem"].read(), partsupp(c), ["l_partkey", "l_suppkey"], ["ps_partkey", "ps_suppkey"], ["l_orderkey", "ps_availqty"])
+
+
 @query(
     "SELECT l.l_extendedprice, o.o_totalprice, c.c_name, p.p_name FROM lineitem l, orders o, customer c, part p WHERE p.p_partkey = l.l_partkey AND o.o_custkey = c.c_custkey "
     "AND l.l_orderkey = o.o_orderkey AND l.l_extendedprice < o.o_totalprice AND c.c_custkey < 100"

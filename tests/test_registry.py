@@ -62,3 +62,9 @@ def test_correlated_lookup_of_whole_tables(spark, sf):
     orders, customers = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "customer"))
     want = orders.join(customers, orders.o_custkey == customers.c_custkey).count()
     assert registry.queries()["index_correlated_lookup_whole"](spark, sf).count() == want > registry.queries()["index_correlated_lookup"](spark, sf).count()
+
+
+def test_merge_join_of_whole_tables(spark, sf):
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey is not null and l_suppkey is not null").count()
+    got = registry.queries()["merge_join_multi_key_whole"](spark, sf)
+    assert got.count() == n > registry.queries()["merge_join_multi_key"](spark, sf).count() and "SortMergeJoin" in plan(got)
