@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import remove, scratch
@@ -45,6 +45,36 @@ class Workspace:
         """Delete a table that no returned frame reads any more."""
         remove(self.spark, f"{self.path}/{name}")
 
+    def close(self) -> None:
+        """Delete all of them, once nothing reads a returned frame any more. storage.sweep() does so for all of an application."""
+        remove(self.spark, self.path)
+
+
+def numbered_rows(ws: Workspace, df: DataFrame, keys: list, name: str) -> DataFrame:
+    """Sorted by keys and saved, with part (number of the range) and idx (number within it).
+
+    Ranges are as even as the keys allow: if many rows can be equal in all of them, let the last be place() of a saved table.
+    """
+    df = df.orderBy(*keys).withColumn("mid", F.monotonically_increasing_id())
+    df = df.withColumns({"part": F.shiftright("mid", 33), "idx": F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))}).drop("mid")
+    return ws.save(df, name)
+
+
+def place() -> Column:
+    """Where a row stands in a saved table: the same whenever a lost task reads it again."""
+    return F.monotonically_increasing_id()
+
+
+def ranked(rows: DataFrame, group: str) -> DataFrame:
+    """numbered_rows() that were sorted by group first, with rank (from 0, within the group) and of (its rows).
+
+    Windows run over a row per group and range alone.
+    """
+    parts = rows.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("low"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(group, "part", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(group)).alias("of"))
+    return join_on(rows, parts, [group, "part"]).withColumn("rank", F.col("idx") - F.col("low") + F.col("before")).drop("part", "idx", "low", "before")
+
 
 def join_on(left: DataFrame, right: DataFrame, names: Iterable[str], how: str = "inner") -> DataFrame:
     """A join on all names in which null equals null; the result has the left side's keys."""

@@ -7,7 +7,9 @@ the whole corpus in a fixed table of 2^20 buckets (any one order makes the filte
 words share only makes it weaker). Postings of a word meet under four exact filters: length; position (what is
 left of both lines after the shared word must suffice); and a 128-bit parity map of the words, whose
 differing bits are a lower bound of the differing words. The components of what is left are verified on the
-whole sets, and a line goes if an earlier line, by (doc_id, line number), matches it.
+whole sets, words by their bytes, and a line goes if an earlier line, by (doc_id, line number), matches it. Components are chains of
+what no filter ruled out; so those of more than LARGE_ROWS lines are verified within the lines that met in one task
+first, and made anew of the links that hold.
 
 Skew: equal lines are posted once by a task, and once after the shuffle; a word whose distinct postings exceed HOT_ROWS
 is passed on and cut into blocks that meet pairwise in cells. Postings hold 64-bit ids, which only bring candidates
@@ -20,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, join_on, table
 from .links import BLOCK_ROWS, KEY, components, dealt, grouped, verify
+from .rarity import BUCKETS, bucket, bucket_counts
 from .words import Block, blocks, mix
 
-THRESHOLD, BUCKETS, CHUNK_BUCKETS, HOT_ROWS, PAIRS_AT_ONCE, SEEN = 0.8, 1 << 20, 1 << 12, 4096, 1 << 18, 1 << 20
+THRESHOLD, HOT_ROWS, LARGE_ROWS, PAIRS_AT_ONCE, SEEN = 0.8, 4096, 1024, 1 << 18, 1 << 20
 #: A posting has a word's hash, a line's 64-bit id, size << 32 | position, and the parity map; a line's row its document's
 #: number, both halves of its key, -1 - its number in the text, and doc_id; a document's row its number, its text's hash, DOC, the number of lines and doc_id.
 COLUMNS = ["token", "id", "meta", "x", "y"]
@@ -41,39 +45,12 @@ def _line_of(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.searchsorted(begin, b.starts, "right") - 1
 
 
-def _counted(docs: DataFrame, ws: Workspace) -> np.ndarray:
-    """Words of the whole corpus by bucket: a fixed 2^20 numbers, summed up in 256 partitions, one row per task and chunk."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for b in blocks(batch.column(0)):
-                n += np.bincount((b.hashes >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
-        parts = n.astype("<u4" if n.max() < 1 << 32 else "<u8").reshape(-1, CHUNK_BUCKETS)
-        some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["chunk", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = sums.setdefault(k, np.zeros(CHUNK_BUCKETS, dtype=np.int64))
-                own += np.frombuffer(v, f"<u{len(v) // CHUNK_BUCKETS}").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["chunk", "n"])
-
-    out = np.zeros((BUCKETS // CHUNK_BUCKETS, CHUNK_BUCKETS), dtype=np.int64)
-    rows = docs.select("text").mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInArrow(add, "chunk long, n binary")
-    for r in rows.collect():  # 256 rows of 32 KB, whatever the corpus
-        out[r["chunk"]] += np.frombuffer(r["n"], "<i8")
-    return out.ravel()
-
-
 class Sets:
     """The word sets of a block's lines: hashes in order of rarity (then of hash), where each begins, the lines' numbers and keys."""
 
     def __init__(self, b: Block, rank: np.ndarray):
         begin, line = _line_of(b)
-        q = rank[(b.hashes >> np.uint64(44)).astype(np.int64)]
+        q = rank[bucket(b.hashes)]
         packs = len(begin) <= 1 << 20  # else a line's number doesn't fit above its words' ranks
         major = (line.astype(np.uint64) << np.uint64(44)) | (q.astype(np.uint64) << np.uint64(32)) | (b.hashes >> np.uint64(32))
         order = np.argsort(major, kind="stable")
@@ -88,6 +65,7 @@ class Sets:
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
         self.at = np.append(first, len(line))
         own = line[first]
+        self.start, self.end = begin[own], np.append(begin, len(b.buf))[own + 1]
         self.row = np.searchsorted(b.offsets, begin[own], "right") - 1
         start = np.searchsorted(begin, b.offsets[:-1])
         self.number = own - start[self.row]
@@ -191,12 +169,18 @@ def stars(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[
     return nodes[some], nodes[label[some]]
 
 
-def _met(t: pa.Table, at: np.ndarray, block: np.ndarray | None, threshold: float) -> pa.RecordBatch:
+def _met(t: pa.Table, at: np.ndarray, block: np.ndarray | None, threshold: float, place: int) -> pa.RecordBatch:
+    """Edges: id, x (its star's center), y (place: where they met)."""
     ids, meta = t.column("id").to_numpy(), t.column("meta").to_numpy()
     x, y = (t.column(c).to_numpy().view(np.uint64) for c in "xy")
     a, b = stars(ids, list(candidates(at, meta >> 32, meta & 0xFFFFFFFF, x, y, block, threshold)))
     z = np.zeros(len(a), np.int64)
-    return _batch([z, a, z, b, z])
+    return _batch([z, a, z, b, z + place])
+
+
+def _place(number: int) -> int:
+    """A number that no other batch of the stage has."""
+    return TaskContext.get().partitionId() << 32 | number
 
 
 def _tidied(t: pa.Table, at: np.ndarray) -> tuple[pa.Table, np.ndarray]:
@@ -243,7 +227,7 @@ def _edges(posted: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[pa.RecordBatch] = []
-        for t, at in grouped(postings(batches, out), 1):
+        for number, (t, at) in enumerate(grouped(postings(batches, out), 1)):
             size = np.diff(at)
             if (size > HOT_ROWS).any():
                 for k in np.flatnonzero(size > HOT_ROWS):
@@ -253,7 +237,7 @@ def _edges(posted: DataFrame, threshold: float) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(size)])
             if len(t):
                 t, at = _tidied(t, at)
-                out.append(tag(_met(t, at, None, threshold), 1))
+                out.append(tag(_met(t, at, None, threshold, _place(number)), 1))
             yield from out
             out.clear()
         yield from out
@@ -269,24 +253,24 @@ def _hot_edges(ws: Workspace, hot: DataFrame, threshold: float) -> DataFrame:
     cells = dealt(rows, ["token"], "blocks").sortWithinPartitions("token", "cell", "meta").select("token", "cell", "block", "id", "meta", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in grouped(batches, 2):
+        for number, (t, at) in enumerate(grouped(batches, 2)):
             block = t.column("block").to_numpy()
             same = np.minimum.reduceat(block, at[:-1]) == np.maximum.reduceat(block, at[:-1])
             # where a cell holds one block alone its rows meet each other, else only those of the other block
             own = np.where(np.repeat(same, np.diff(at)), np.arange(len(block)) + (1 << 32), block)
-            yield _met(t, at, own, threshold).select(["id", "x"])
+            yield _met(t, at, own, threshold, -1 - _place(number)).select(["id", "x", "y"])
 
-    return cells.mapInArrow(run, "id long, x long")
+    return cells.mapInArrow(run, "id long, x long, y long")
 
 
 def _items(texts: DataFrame, rank) -> DataFrame:
-    """node, root, items, doc, line of the wanted lines (want: array of line, root and key) of each text; a line with another key than the wanted one is another text's."""
+    """node, lo, root, text, doc, line of the wanted lines (want: array of line, root and key) of each text; a line with another key than the wanted one is another text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, want = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            node, root, items, doc, line = [], [], [], [], []
             for b in blocks(batch.column(1)):
+                node, lo, root, text, doc, line = [], [], [], [], [], []
                 s = Sets(b, rank.value)
                 where = {(r, k): i for i, (r, k) in enumerate(zip(s.row.tolist(), s.number.tolist(), strict=True))}
                 for r in range(b.hi - b.lo):
@@ -294,13 +278,32 @@ def _items(texts: DataFrame, rank) -> DataFrame:
                         i = where.get((r, w["line"]))
                         if i is not None and s.lo[i] == w["lo"] and s.hi[i] == w["hi"]:
                             node.append(s.lo[i].tobytes() + s.hi[i].tobytes())
+                            lo.append(w["lo"])
                             root.append(w["root"])
-                            items.append(np.sort(s.words[s.at[i] : s.at[i + 1]]).astype("<u8").tobytes())
+                            text.append(b.buf[s.start[i] : s.end[i]].tobytes())
                             doc.append(docs[b.lo + r])
                             line.append(w["line"])
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(root, pa.int64()), pa.array(items, pa.binary()), pa.array(doc, pa.int64()), pa.array(line, pa.int64())], names=["node", "root", "items", "doc", "line"])
+                longs = {k: pa.array(v, pa.int64()) for k, v in (("lo", lo), ("root", root), ("doc", doc), ("line", line))}
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), longs["lo"], longs["root"], pa.array(text, pa.binary()), longs["doc"], longs["line"]], names=["node", "lo", "root", "text", "doc", "line"])
+
+    return texts.select("doc_id", "text", "want").mapInArrow(run, "node binary, lo long, root long, text binary, doc long, line long")
 
-    return texts.select("doc_id", "text", "want").mapInArrow(run, "node binary, root long, items binary, doc long, line long")
+
+def _refined(ws: Workspace, items: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """items with roots of components that are at most LARGE_ROWS lines, or else hold together by links that are verified.
+
+    A link's lines met in some task, so that what was connected there holds both.
+    """
+    large = ws.save(items.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_ROWS).select("root"), "large")
+    if large.isEmpty():
+        return items
+    inside = ws.save(items.join(large, "root"), "inside_large")
+    local = edges.select(F.col("a").alias("lo"), "b", "place").union(edges.select(F.col("b").alias("lo"), "b", "place"))
+    local = local.distinct().select("lo", F.xxhash64("place", "b").alias("root"))
+    _, links = verify(ws, inside.drop("root").join(local, "lo").select("node", "root", "text", "doc", "line"), 1, threshold, "met_verified")
+    roots = components(ws, links, "refined")
+    refined = inside.drop("root").join(roots, "node").select(*items.drop("root").columns, F.xxhash64("root").alias("root"))
+    return items.join(large, "root", "left_anti").unionByName(refined)
 
 
 def matches(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,13 +319,13 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     ws = Workspace(spark, "lines")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))  # of the text, since a second reading may number rows differently
-    rank = spark.sparkContext.broadcast(_ranks(_counted(rows, ws)))  # 2 MB, whatever the corpus
+    rank = spark.sparkContext.broadcast(_ranks(bucket_counts(rows.select("text"))))  # 2 MB, whatever the corpus
     met = ws.save(_edges(_posted(rows, rank, threshold), threshold), "met")
     hot = ws.save(_hot_edges(ws, met.where("kind = 2"), threshold), "hot")
     for x in ("hot_postings", "hot_words"):
         ws.drop(x)
-    edges = met.where("kind = 1").select(F.col("id").alias("a"), F.col("x").alias("b")).union(hot)
-    inside = components(ws, edges, "groups")
+    edges = met.where("kind = 1").select("id", "x", "y").union(hot).toDF("a", "b", "place")
+    inside = components(ws, edges.select("a", "b"), "groups")
 
     lines = met.where(f"kind = 0 and meta > {DOC}").select(F.col("token").alias("uid"), F.col("y").alias("doc_id"), (-1 - F.col("meta")).alias("line"), F.col("id").alias("lo"), F.col("x").alias("hi"))
     firsts = ws.save(lines.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "line", "uid")).alias("at"), F.count(F.lit(1)).alias("n")).select("lo", "hi", F.struct("at.doc_id", "at.line").alias("first"), "at.uid", "n"), "firsts")
@@ -330,7 +333,7 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     wanted = firsts.join(inside.withColumnRenamed("node", "lo"), "lo").groupBy("uid", "first.doc_id").agg(F.collect_list(F.struct("first.line", "root", "lo", "hi")).alias("want"))
     texts = rows.select("doc_id", "hash", "text").join(wanted.join(hashes, "uid").drop("uid"), ["doc_id", "hash"])
     items = ws.save(_items(texts, rank).dropDuplicates(["node"]), "items")
-    counts, _ = verify(ws, items, threshold, "verified")
+    counts, _ = verify(ws, _refined(ws, items, edges, threshold), 1, threshold, "verified")
     found = _halves(counts).select("lo", "hi", "n_links", F.struct(F.col("first.doc").alias("doc_id"), F.col("first.line").alias("line")).alias("other"))
     cut = join_on(firsts.drop("uid"), found, ["lo", "hi"], "left").where("n > 1 or n_links > 0")  # others stay
     cut = cut.select("lo", "hi", F.least("first", "other").alias("cut"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -3,7 +3,8 @@
 A similarity join over large groups must not make a row for every pair. Candidate generators therefore emit
 spanning edges of the pairs that they can't rule out, a number linear in a group's rows; components of these hold every
 possible link. verify() then compares all pairs of a component exactly, block against block, and emits a
-count per row and, again, spanning edges only. Nothing is collected to the driver.
+count per row and, again, spanning edges only. It gets the texts themselves and numbers their words by bytes, so that no
+hash decides whether words or shingles are the same. Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .words import text_buffer
+from .words import CHUNK, blocks, numbered, numbered_shingles, text_buffer
 
-BLOCK_ROWS, BLOCK_BYTES, KEY = 1024, 16 << 20, 16
+BLOCK_ROWS, BLOCK_BYTES, KEY = 512, 4 << 20, 16
 
 
 def fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -78,6 +79,11 @@ def spanning(n: int, block: np.ndarray, crossing: bool, alike: Callable[[int, np
     return heads, tails
 
 
+def across(cell: int) -> bool:
+    """Whether the cell is one of two blocks; that one of them may be empty doesn't show in its rows."""
+    return cell >> 31 != cell & 0x7FFFFFFF
+
+
 def dealt(members: DataFrame, keys: list[str], blocks: str) -> DataFrame:
     """Members in cells of two blocks of their group, so that any two meet in exactly one cell where their blocks differ or are the same.
 
@@ -113,47 +119,58 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.T
         yield t, np.array([0, len(t)])
 
 
-def overlaps(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, js): for each i the j > i whose Jaccard similarity with i is at least threshold. Sets are sorted, distinct, not empty."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    if n <= 12:
-        for i in range(n - 1):
-            out = []
-            for j in range(i + 1, n):
-                if min(size[i], size[j]) >= threshold * max(size[i], size[j]):
-                    both = np.concatenate([sets[i], sets[j]])
-                    both.sort(kind="stable")
-                    common = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if common >= threshold * (size[i] + size[j] - common) - 1e-9:
-                        out.append(j)
-            yield i, np.array(out, dtype=np.int64)
-        return
-    flat = np.concatenate(sets)
-    _, code = np.unique(flat, return_inverse=True)
+def overlaps(codes: np.ndarray, begin: np.ndarray, block: np.ndarray | None, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): for each set i later ones whose Jaccard similarity with it is at least threshold, each pair once.
+
+    Set i has codes begin[i] to begin[i + 1], distinct small numbers. With block only pairs of different blocks (there are two) count.
+    """
+    size = np.diff(begin)
+    order = np.lexsort((size, np.zeros(len(size), bool) if block is None else block))
+    size = size[order]
+    flat = codes[np.concatenate([np.arange(begin[k], begin[k + 1]) for k in order])] if len(order) else codes[:0]
     at = np.concatenate([[0], np.cumsum(size)])
-    has = np.zeros(int(code.max()) + 1, dtype=np.int64)
-    for i in range(n - 1):
-        mine = code[at[i] : at[i + 1]]
+    split = 0 if block is None else int(np.count_nonzero(block == block.min()))
+    has = np.zeros(int(flat.max()) + 1 if len(flat) else 0, dtype=np.int32)
+    limit = size / threshold + 1e-9
+    for i in range(split if block is not None else len(size) - 1):
+        # sizes ascend from lo on, so that similar ones stand together
+        lo, hi = (i + 1, len(size)) if block is None else (split, len(size))
+        hi = lo + int(np.searchsorted(size[lo:hi], limit[i], "right"))
+        if block is not None:
+            lo += int(np.searchsorted(size[lo:hi], size[i] * threshold - 1e-9, "left"))
+        if lo >= hi or not size[i]:
+            continue
+        mine = flat[at[i] : at[i + 1]]
         has[mine] = 1
-        common = np.add.reduceat(has[code[at[i + 1] :]], at[i + 1 : -1] - at[i + 1])
+        met = np.concatenate([[0], np.cumsum(has[flat[at[lo] : at[hi]]])])
         has[mine] = 0
-        union = size[i] + size[i + 1 :] - common
-        yield i, np.flatnonzero(common >= threshold * union - 1e-9) + i + 1
+        common = np.diff(met[at[lo : hi + 1] - at[lo]])
+        js = np.flatnonzero(common >= threshold * (size[i] + size[lo:hi] - common) - 1e-9) + lo
+        if len(js):
+            yield int(order[i]), order[js]
+
+
+def _portions(at: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Groups from and to, of about CHUNK bytes or one group."""
+    ends, lo = offsets[at], 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + CHUNK, "right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
-def verify(ws: Workspace, members: DataFrame, threshold: float, name: str) -> tuple[DataFrame, DataFrame]:
-    """Exact links among members (node, root, items: sorted distinct 64-bit hashes as bytes, doc and line: where the node first stands).
+def verify(ws: Workspace, members: DataFrame, words: int, threshold: float, name: str) -> tuple[DataFrame, DataFrame]:
+    """Exact links among members (node, root, text, doc and line: where the node first stands), on sets of runs of so many words.
 
     Returns (node, n_links, first: the earliest doc and line of a linked node) for the nodes with links, and
     spanning edges (a, b) of the links. A large component is cut into blocks of at most about BLOCK_ROWS rows
-    and BLOCK_BYTES bytes; a task holds two of them.
+    and BLOCK_BYTES bytes, or one longer text; a task holds two of them.
     """
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("items")).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES))
-    sizes = ws.save(sizes.select("root", F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")), f"{name}sizes")  # see components
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES))
+    sizes = ws.save(sizes.select("root", F.greatest(parts, F.lit(1)).cast("int").alias("blocks")), f"{name}sizes")  # see components
     cut = members.join(sizes, "root")
-    cells = dealt(cut.select("root", "node", "items", "doc", "line", "blocks"), ["root"], "blocks").select("root", "cell", "block", "node", "items", "doc", "line")
+    cells = dealt(cut.select("root", "node", "text", "doc", "line", "blocks"), ["root"], "blocks").select("root", "cell", "block", "node", "text", "doc", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in grouped(batches, 2):
@@ -162,31 +179,27 @@ def verify(ws: Workspace, members: DataFrame, threshold: float, name: str) -> tu
             rank = np.empty(len(t), dtype=np.int64)
             order = np.lexsort((line, doc))
             rank[order] = np.arange(len(t))
-            items, off = text_buffer(t.column(4))
-            flat = items.view("<u8")
-            off //= 8
             heads, tails, links, first = [], [], np.zeros(len(t), dtype=np.int64), np.full(len(t), len(t))
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                crossing = cell[lo] >> 31 != cell[lo] & 0x7FFFFFFF  # not from the rows: the other block may be empty
-                if crossing and block[lo:hi].min() == block[lo:hi].max():
-                    continue
-                label = np.arange(hi - lo)
-                for i, js in overlaps([flat[off[k] : off[k + 1]] for k in range(lo, hi)], threshold):
-                    if crossing:
-                        js = js[block[lo + js] != block[lo + i]]
-                    if not len(js):
+            for g, h in _portions(at, text_buffer(t.column(4))[1]):
+                base = int(at[g])
+                b = next(blocks(t.column(4).slice(base, int(at[h]) - base), chunk=1 << 62))
+                codes, begin = numbered_shingles(numbered(b.low, b.starts, b.ends, b.hashes)[0], b.at, words)
+                for lo, hi in zip(at[g:h].tolist(), at[g + 1 : h + 1].tolist(), strict=True):
+                    crossing = across(int(cell[lo]))
+                    own = block[lo:hi] if crossing else None
+                    if hi - lo < 2 or crossing and own.min() == own.max():
                         continue
-                    links[lo + i] += len(js)
-                    links[lo + js] += 1
-                    first[lo + i] = min(first[lo + i], rank[lo + js].min())
-                    first[lo + js] = np.minimum(first[lo + js], rank[lo + i])
-                    for j in js[label[js] != label[i]].tolist():
-                        if label[j] != label[i]:
-                            heads.append(lo + i)
-                            tails.append(lo + j)
-                            label[label == label[j]] = label[i]
+                    label = np.arange(hi - lo)
+                    for i, js in overlaps(codes, begin[lo - base : hi - base + 1], own, threshold):
+                        links[lo + i] += len(js)
+                        links[lo + js] += 1
+                        first[lo + i] = min(first[lo + i], rank[lo + js].min())
+                        first[lo + js] = np.minimum(first[lo + js], rank[lo + i])
+                        for j in js[label[js] != label[i]].tolist():
+                            if label[j] != label[i]:
+                                heads.append(lo + i)
+                                tails.append(lo + j)
+                                label[label == label[j]] = label[i]
             some = np.flatnonzero(links)
             a = pa.array([node[k].tobytes() for k in [*some, *heads]], pa.binary())
             b = pa.array([None] * len(some) + [node[k].tobytes() for k in tails], pa.binary())

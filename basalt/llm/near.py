@@ -1,14 +1,14 @@
 """An n-gram Jaccard join with Bayesian candidate pruning.
 
 Documents are sets of five-word shingles. Equal texts are one node from the start. 96 MinHash values per node
-in 24 bands of 4 make candidates: a pair of similarity 0.8 shares no band once in 300,000 pairs. Within a bucket
+in 24 bands of 4 make candidates: a pair of similarity 0.8 shares no band once in 300,000 pairs (lower thresholds get more
+bands of fewer values). Within a bucket
 pairs are compared 16 values at a time and dropped as soon as the posterior probability that their
 similarity reaches the threshold (uniform prior) is below TOLERANCE. Components of what is left are
-verified exactly, all pairs of a component: see links.py.
+verified exactly, all pairs of a component, on the words' bytes: see links.py.
 
 Skew: a bucket with many rows is cut into blocks, and blocks meet pairwise in cells of their own; a task holds a
-cell. Only rows of shared buckets carry signatures. Texts move once, to compute the shingles of the
-documents that are in a component.
+cell. Only rows of shared buckets carry signatures. Texts of documents that are in a component move to its cells.
 """
 
 from __future__ import annotations
@@ -22,12 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, join_on, table
-from .links import BLOCK_ROWS, KEY, components, dealt, fixed, grouped, spanning, verify
+from .links import BLOCK_ROWS, KEY, across, components, dealt, fixed, grouped, spanning, verify
 from .words import blocks, shingles
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
-BANDS, ROWS, STEP = 24, 4, 16
-HASHES = BANDS * ROWS
+HASHES, STEP, MISS = 96, 16, 1e-5
 
 _rng = np.random.Generator(np.random.PCG64(96))
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -59,6 +58,14 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
     return n
 
 
+def band_rows(threshold: float) -> int:
+    """Values in a band: the most with which a pair at threshold shares no band at a chance of at most MISS."""
+    for rows in (4, 3, 2, 1):
+        if 0 < threshold <= 1 and (1 - threshold**rows) ** (HASHES // rows) <= MISS:
+            return rows
+    raise ValueError(f"candidates of similarity {threshold} can't be told from {HASHES} values")
+
+
 def _digest(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 2 * KEY))
 
@@ -68,7 +75,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), _digest(text).alias("node"), text.alias("text"))
 
 
-def _signed(rows: DataFrame) -> DataFrame:
+def _signed(rows: DataFrame, per_band: int) -> DataFrame:
     """doc_id, node, keys (a 64-bit key per band), sig (16 bits of each value). keys and sig are null without words."""
     schema = rows.drop("text").schema.add("keys", "binary").add("sig", "binary")
 
@@ -88,8 +95,8 @@ def _signed(rows: DataFrame) -> DataFrame:
                     sigs[b.lo + r] = sig[i * 2 * HASHES : (i + 1) * 2 * HASHES]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=schema.names)
 
-    width = 4 * ROWS
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("keys"), k * width + 1, F.lit(width))))
+    width = 4 * per_band
+    band = F.transform(F.sequence(F.lit(0), F.lit(HASHES // per_band - 1)), lambda k: F.xxhash64(k, F.substring(F.col("keys"), k * width + 1, F.lit(width))))
     out = rows.mapInArrow(run, schema)
     return out.withColumn("keys", F.when(F.col("keys").isNotNull(), band))
 
@@ -105,7 +112,7 @@ def _candidates(ws: Workspace, nodes: DataFrame, threshold: float, tolerance: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in grouped(batches, 2):
-            node, block = fixed(t.column(3), KEY), t.column(2).to_numpy()
+            node, cell, block = fixed(t.column(3), KEY), t.column(1).to_numpy(), t.column(2).to_numpy()
             sig = fixed(t.column(4), 2 * HASHES).view("<u2")
             heads, tails = [], []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -121,8 +128,7 @@ def _candidates(ws: Workspace, nodes: DataFrame, threshold: float, tolerance: fl
                         js, same, done = js[ok], same[ok], n
                     return js
 
-                crossing = block[lo:hi].min() != block[lo:hi].max()
-                h, g = spanning(hi - lo, block[lo:hi], bool(crossing), alike)
+                h, g = spanning(hi - lo, block[lo:hi], across(int(cell[lo])), alike)
                 heads += [lo + k for k in h]
                 tails += [lo + k for k in g]
             if heads:
@@ -132,20 +138,6 @@ def _candidates(ws: Workspace, nodes: DataFrame, threshold: float, tolerance: fl
     return cells.mapInArrow(run, "a binary, b binary")
 
 
-def _shingled(rows: DataFrame) -> DataFrame:
-    """node, root, items: the sorted distinct shingles of a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in blocks(batch.column(2)):
-                values, at = shingles(b.hashes, b.at, WORDS)
-                items = [np.unique(values[at[r] : at[r + 1]]).astype("<u8").tobytes() for r in range(b.hi - b.lo)]
-                n = b.hi - b.lo
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, n), batch.column(1).slice(b.lo, n), pa.array(items, pa.binary())], names=["node", "root", "items"])
-
-    return rows.select("node", "root", "text").mapInArrow(run, "node binary, root binary, items binary")
-
-
 def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, n_copies, node.
 
@@ -155,30 +147,35 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     without words, null and empty ones among them, have no links, but equal ones are copies; null counts as
     empty. Repeated rows are copies. An empty table gives no rows; other columns are not read.
     """
+    per_band = band_rows(threshold)
     ws = Workspace(docs.sparkSession, "near")
     rows = _rows(docs, id_col, text_col)
-    signed = ws.save(_signed(rows), "signed")
+    signed = ws.save(_signed(rows, per_band), "signed")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     nodes = ws.save(nodes, "nodes")
     edges = ws.save(_candidates(ws, nodes, threshold, tolerance), "candidates")
     inside = ws.save(components(ws, edges, "groups"), "inside")
     wanted = inside.join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
-    texts = join_on(rows, wanted, ["node", "doc_id"]).dropDuplicates(["node"])
-    shingled = ws.save(_shingled(texts), "shingled")
-    counts, links = verify(ws, shingled.withColumns({"doc": F.lit(0).cast("long"), "line": F.lit(0).cast("long")}), threshold, "verified")
+    texts = ws.save(join_on(rows, wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "root", "text"), "texts")
+    counts, links = verify(ws, texts.withColumns({"doc": F.lit(0).cast("long"), "line": F.lit(0).cast("long")}), WORDS, threshold, "verified")
     root = components(ws, links, "classes")
     found = ws.save(counts.drop("first").join(root, "node", "left"), "found")
     classes = nodes.select("node", "rep", "n_copies").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = ws.save(classes, "classed")
     of = ws.save(classes.groupBy("root").agg(F.min("rep").alias("class_id")), "heads")
     classes = ws.save(classes.join(of, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "result")
-    for x in ("shared", "candidates", "inside", "shingled", "verified", "found", "nodes", "classed", "heads"):
+    for x in ("shared", "candidates", "inside", "texts", "verified", "found", "nodes", "classed", "heads"):
         ws.drop(x)
     return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "n_links", "n_copies", "node")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with one of each class: the row of the smallest id, with all its columns (one row, should it repeat)."""
+    """The documents with one of each class: the row of the smallest id, with all its columns (one row, should it repeat).
+
+    Null texts count as empty; empty ones, and others without words, are alike only where they are equal, so that one of each
+    stays. If all ids of a class are null, one of its rows without id stays for each different text. Whole texts count, of any length. An empty
+    table stays empty; other columns, whatever their names, go along.
+    """
     near = similar(docs, id_col=id_col, text_col=text_col, **options)
     keep = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), _digest(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("node"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .words import CHUNK, runs, span_hashes, text_buffer
+from .words import CHUNK, LOWER, numbered, runs, span_hashes, text_buffer
 
 MAGIC, HEAD, SAMPLE = b"BSLTEF01", struct.Struct("<8Q"), 256
 SEGMENT_IDS, MEMO, END_ID = 2_000_000, 500_000, 1
@@ -71,12 +71,17 @@ class EliasFano:
         return (high << self.low_bits) | sum(int(b) << k for k, b in enumerate(bits))
 
     def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.int64)
+        """All values: select, a sample's stretch of upper bits at a time."""
+        out = np.empty(self.n, dtype=np.int64)
+        for k in range(0, self.n, SAMPLE):
+            n, start = min(SAMPLE, self.n - k), int(self.samples[k // SAMPLE])
+            stop = int(self.samples[k // SAMPLE + 1]) if k + SAMPLE < self.n else len(self.upper) * 8
+            ones = np.flatnonzero(np.unpackbits(self.upper[start // 8 : (stop + 7) // 8], bitorder="little")[start % 8 :])[:n]
+            out[k : k + n] = start + ones - np.arange(k, k + n)
         if not self.low_bits:
-            return high
+            return out
         bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return (high << self.low_bits) | (bits << np.arange(self.low_bits)).sum(axis=1)
+        return (out << self.low_bits) | (bits << np.arange(self.low_bits)).sum(axis=1)
 
 
 def pack(partition: int, number: int, doc_ids: list[int | None], bounds: np.ndarray, ids: np.ndarray) -> bytes:
@@ -133,8 +138,8 @@ class Encoder:
 
     With PATTERN, white space that is dropped, and lower case, pieces are encoded independently of each other: runs of letters,
     digits, runs of other ASCII characters, and, where hard bytes occur, all that stands between blanks. Blocks of
-    text are cut into these with numpy, each distinct piece of a block is looked up in a bounded memo and what is
-    new is encoded by the library. Any other tokenizer encodes whole texts.
+    text are cut into these with numpy, each distinct piece of a block (by its bytes, not its hash) is looked up in a bounded
+    memo and what is new is encoded by the library. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, tokenizer_json: str, memo: int = MEMO):
@@ -207,12 +212,12 @@ class Encoder:
         end = np.append(begin[1:], len(part))
         stop = ends[np.searchsorted(starts, begin, "right") - 1]
         end = np.minimum(end, stop)
-        hashes = span_hashes(part, begin, end)
+        low = LOWER[part]
         special = np.concatenate([[0], np.cumsum(part == 60)])
         for k in np.flatnonzero(special[end] > special[begin]):  # special tokens are case-sensitive
-            hashes[k] = np.uint64(hash(part[begin[k] : end[k]].tobytes()) & 0xFFFFFFFFFFFFFFFF)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = part.tobytes()
+            low[begin[k] : end[k]] = part[begin[k] : end[k]]
+        which, first = numbered(low, begin, end, span_hashes(low, begin, end))
+        raw = low.tobytes()
         pieces = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
         got = list(map(self.memo.get, pieces))
         missing = [k for k, x in enumerate(got) if x is None]
@@ -245,7 +250,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
     """Encode whole texts and write them in ascending doc_id order (nulls first; equal ids by text), a segment per file.
 
     The order is a range sort, so no task holds more than a range; a segment has about segment_ids ids, or ends with the
-    block of about block_bytes of text, or the one longer document, in which it reaches them. A null text has its end id alone. An empty table writes no segment.
+    block of about block_bytes of text, or the one longer document, in which it reaches them. Ids of documents are integers (another
+    type that does not cast to long is an error); null and repeated ones are documents of their own. A null or empty text has its
+    end id alone. Other columns are not read. An empty table writes no segment.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())  # a vocabulary file: a few MB, whatever the corpus
@@ -311,4 +318,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ws = Workspace(spark, "tokens")
     write(table(spark, sf_dir, "documents"), f"{ws.path}/files", public_tokenizers.path("word_bpe_49k.json"))
-    return offsets(ws.save(read(spark, f"{ws.path}/files"), "read"))
+    rows = ws.save(read(spark, f"{ws.path}/files"), "read")
+    ws.drop("files")
+    return offsets(rows)

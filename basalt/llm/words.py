@@ -1,4 +1,4 @@
-"""Vectorised words, shingles and their 64-bit hashes over Arrow string columns.
+"""Vectorised words, shingles and their 64-bit hashes over Arrow string columns, and exact numbers for both.
 
 A word is a maximal run of 0-9, a-z (A-Z count as a-z) and characters beyond ASCII. In UTF-8 every byte of
 such a character is at least 0x80, so runs of bytes are runs of characters and whole Arrow buffers can be
@@ -7,40 +7,22 @@ cut at once, without a Python string for each word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  #: bytes that are hashed at once; a longer document is hashed in pieces
+CHUNK = 1 << 20  #: bytes of whole rows that are cut and hashed at once
+LONG = 64  #: bytes from which on a span is hashed and compared on its own
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class _Powers:
-    up = _powers(_P, 1024)
-    down = _powers(_P_INV, 1024)
-
-    @classmethod
-    def upto(cls, n: int) -> None:
-        if len(cls.up) < n:
-            size = max(n, CHUNK + 1024)
-            cls.up, cls.down = _powers(_P, size), _powers(_P_INV, size)
+_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +35,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix_int(x: int) -> int:
+    return int(mix(np.array([x], dtype=np.uint64))[0])
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,30 +68,66 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the lower-cased bytes of each span."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        _Powers.upto(hi - lo + 1)
-        total = np.empty(hi - lo + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[buf[lo:hi]] * _Powers.up[: hi - lo], out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((total[e] - total[s]) * _Powers.down[s] + (e - s).astype(np.uint64))
-        i = j
+def eights(buf: np.ndarray) -> np.ndarray:
+    """For every byte the number that it and the seven after it make; zeros follow the last."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded.data, 0, (1,))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: every eight bytes go through a full mix; spans beyond LONG through BLAKE2."""
+    eight, size = eights(buf), ends - starts
+    out = mix((eight[starts] & _MASK[np.minimum(size, 8)]) ^ np.uint64(mix_int(seed)))
+    live, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        out[live] = mix(out[live] * _ODD ^ (eight[starts[live] + k] & _MASK[np.minimum(size[live] - k, 8)]))
+        k += 8
+        live = live[size[live] > k]
+    out = mix(out ^ size.astype(np.uint64) * _ODD)
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        raw, key = buf.tobytes(), seed.to_bytes(8, "little")
+        out[far] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8, key=key).digest(), "little") for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
     return out
 
 
+def same_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, starts2: np.ndarray, ends2: np.ndarray, left: np.ndarray | None = None, right: np.ndarray | None = None) -> np.ndarray:
+    """Whether the bytes of each span of buf are those of the span of other beside it. left, right: eights() of both, if there already."""
+    size, k = ends - starts, 0
+    out = size == ends2 - starts2
+    left = eights(buf) if left is None else left
+    right = right if right is not None else left if other is buf else eights(other)
+    live = np.flatnonzero(out & (size > 0))
+    while len(live) and k < LONG:
+        same = ((left[starts[live] + k] ^ right[starts2[live] + k]) & _MASK[np.minimum(size[live] - k, 8)]) == 0
+        out[live[~same]] = False
+        k += 8
+        live = live[same & (size[live] > k)]
+    for i in live.tolist():
+        out[i] = buf[starts[i] : ends[i]].tobytes() == other[starts2[i] : ends2[i]].tobytes()
+    return out
+
+
+def numbered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span, a span of each number). Hashes bring spans together, but equal numbers mean equal bytes."""
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    of = first[which]
+    if not same_spans(buf, starts, ends, buf, starts[of], ends[of]).all():
+        raw, seen = buf.tobytes(), {}
+        which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+        first = np.unique(which, return_index=True)[1]
+    return which, first
+
+
 @dataclass
 class Block:
-    """Rows lo to hi of a column: their bytes, and all their words. at: where each row's words begin."""
+    """Rows lo to hi of a column: their bytes, these with A-Z lower-cased, and all their words. at: where each row's words begin."""
 
     lo: int
     hi: int
     buf: np.ndarray
+    low: np.ndarray
     offsets: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
@@ -113,16 +135,16 @@ class Block:
     at: np.ndarray
 
 
-def blocks(column: pa.Array, hashed: bool = True, chunk: int = CHUNK) -> Iterator[Block]:
-    """The column in blocks of about chunk bytes, of whole rows."""
+def blocks(column: pa.Array, chunk: int = CHUNK, seed: int = 0) -> Iterator[Block]:
+    """The column in blocks of about chunk bytes, of whole rows. seed is that of the words' hashes."""
     buf, offsets = text_buffer(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, "right")) - 1)
         part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends = runs(_IS_WORD[part], off)
-        hashes = span_hashes(part, starts, ends) if hashed else np.zeros(0, np.uint64)
-        yield Block(lo, hi, part, off, starts, ends, hashes, np.searchsorted(starts, off))
+        low = LOWER[part]
+        yield Block(lo, hi, part, low, off, starts, ends, span_hashes(low, starts, ends, seed), np.searchsorted(starts, off))
         lo = hi
 
 
@@ -157,3 +179,34 @@ def count_runs(column: pa.Array, inside: np.ndarray) -> np.ndarray:
         out[lo:hi] = np.diff(np.searchsorted(starts, off))
         lo = hi
     return out
+
+
+def numbered_shingles(numbers: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers of each row's runs of n words, and where each row's begin. Equal numbers mean equal words.
+
+    numbers are the words' own; a row of 1 to n - 1 words has one run: all of them.
+    """
+    if n == 1:
+        which, begin = numbers, at
+    else:
+        hashes, begin = shingles(mix(numbers.astype(np.uint64)), at, n)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        each = np.diff(begin)
+        pos = np.arange(len(hashes)) + np.repeat(at[:-1] - begin[:-1], each)
+        size = np.minimum(np.repeat(np.diff(at), each), n)
+        of, same = first[which], size == size[first[which]]
+        for k in range(n):
+            here = np.flatnonzero(same & (size > k))
+            same[here] = numbers[pos[here] + k] == numbers[pos[of[here]] + k]
+        if not same.all():  # two runs share a hash
+            wide = np.full((len(pos), n), -1, dtype=np.int64)
+            for k in range(n):
+                here = size > k
+                wide[here, k] = numbers[pos[here] + k]
+            which = np.unique(wide, axis=0, return_inverse=True)[1].ravel()
+    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    order = np.lexsort((which, row))
+    row, which = row[order], which[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (which[1:] != which[:-1])
+    return which[new], np.searchsorted(row[new], np.arange(len(begin)))
