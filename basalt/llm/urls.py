@@ -3,6 +3,11 @@
 Native: DataFrame operations and FPGrowth alone. Mined rules lie in an inverted index under their rarest token;
 a url meets only the rules of its own tokens, and a rule fires when the url has all of its tokens.
 
+FP-growth lists all frequent combinations, whose number doubles with each token that others come along with. Two exact steps
+keep that down: tokens that occur in the very same labelled urls (by their count and a 128-bit fingerprint of the rows) are mined
+as one item, any of which then fires; and a token whose urls all have one label is a rule by itself that no combination can better,
+so that it is not mined any further. What is left can still grow with the combinations of tokens that do vary.
+
 Skew: the rules are joined on tokens; their table is small by its support bound, and Spark broadcasts it only
 below its own size threshold, else the join is split by adaptive execution. Matches are gathered by a row's
 own number, which no key repeats.
@@ -10,6 +15,8 @@ own number, which no key repeats.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,31 +59,80 @@ def by_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def mine(labelled: DataFrame, ws: Workspace, support: float = 0.01, confidence: float = 0.8) -> DataFrame:
-    """Rules from (tokens, label): tokens, label, confidence, support, rarest. All labelled rows count.
+def _items(labelled: DataFrame, ws: Workspace, least: int) -> DataFrame:
+    """token, label, n (rows with both), freq (rows with the token), item: the smallest token of the same rows. Tokens in at least so many rows.
+
+    At most 1 / support times a row's tokens. Counts are aggregated before the shuffle.
+    """
+    each = labelled.select(F.explode("tokens").alias("token"), "label", F.xxhash64(F.lit(1), "row").alias("a"), F.xxhash64(F.lit(2), "row").alias("b"))
+    per = each.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    per = ws.save(per, "per_label")
+    whole = per.groupBy("token").agg(F.sum("n").alias("freq"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).where(F.col("freq") >= least)
+    item = whole.groupBy("freq", "a", "b").agg(F.min("token").alias("item"))
+    whole = whole.join(item, ["freq", "a", "b"]).select("token", "freq", "item")
+    return ws.save(per.select("token", "label", "n").join(whole, "token"), "items")
 
-    Pruned: less support or confidence than asked for, and rules whose tokens contain those of another rule
-    with the same label and no less confidence. An empty input gives no rules.
+
+def _best(sets: DataFrame, ws: Workspace) -> DataFrame:
+    """Of (items, label, n, confidence) those that are more confident than any of their subsets with that label.
+
+    All subsets of a frequent set are frequent. So it is enough to hand the best confidence from each set to those with an item more.
+    """
+    sets = ws.save(sets.withColumn("size", F.size("items")), "sets")
+    longest = sets.agg(F.max("size")).first()[0] or 0
+    kept, best = [], None
+    for k in range(1, longest + 1):
+        own = sets.where(F.col("size") == k)
+        if best is None:
+            own = own.withColumn("below", F.lit(0.0))
+        else:
+            less = own.select("items", "label", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("fewer"))
+            below = less.join(best.select(F.col("items").alias("fewer"), "label", "best"), ["fewer", "label"]).groupBy("items", "label").agg(F.max("best").alias("below"))
+            own = own.join(below, ["items", "label"])
+        own = ws.save(own.withColumn("best", F.greatest("confidence", "below")), f"best{k}")
+        kept.append(own.where(F.col("confidence") > F.col("below")))
+        best = own
+    out = sets.where("false").select("items", "label", "n", "confidence")
+    for x in kept:
+        out = out.unionByName(x.select("items", "label", "n", "confidence"))
+    return out
+
+
+def mine(labelled: DataFrame, ws: Workspace, support: float = 0.01, confidence: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """From (tokens, label) rules (rid, items, label, confidence, support, rarest) and members (item, members).
+
+    An item stands for the tokens that occur in the same rows as it; a rule holds for any choice of one member of each of its items.
+    All rows with a label count. Pruned: less support or confidence than asked for, and rules whose tokens contain those of another rule
+    with the same label and no less confidence. Repeated rows count as often as they occur; rows without tokens count as rows. An empty
+    input gives no rules.
     """
     mark = "label="
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(mark), "label"))).alias("items"))
-    items = ws.save(items, "transactions")
-    if items.isEmpty():
-        return items.sparkSession.createDataFrame([], "rid long, tokens array<string>, label string, confidence double, support double, rarest string")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    found = model.associationRules.select("antecedent", F.col("consequent")[0].alias("to"), "confidence", "support")
-    found = found.where(F.col("to").startswith(mark) & ~F.exists("antecedent", lambda x: x.startswith(mark)))
-    found = found.select(F.monotonically_increasing_id().alias("rid"), F.sort_array("antecedent").alias("tokens"), F.substr("to", F.lit(len(mark) + 1)).alias("label"), "confidence", "support")
-    found = ws.save(found, "mined")
-
-    each = found.select("rid", F.explode("tokens").alias("token"), F.size("tokens").alias("size"), "label", "confidence")
-    wide = each.select(F.col("rid").alias("wide"), "token", F.col("size").alias("wide_size"), F.col("label").alias("wide_label"), F.col("confidence").alias("wide_confidence"))
-    inner = each.join(wide, "token").where((F.col("size") < F.col("wide_size")) & (F.col("label") == F.col("wide_label")) & (F.col("confidence") >= F.col("wide_confidence")))
-    redundant = inner.groupBy("wide", "rid", "size").count().where("count = size").select(F.col("wide").alias("rid")).distinct()
-
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rarest = each.join(single, "token").groupBy("rid").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
-    return ws.save(found.join(redundant, "rid", "left_anti").join(rarest, "rid"), "rules")
+    own = F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))
+    labelled = ws.save(labelled.where("label is not null").select(F.monotonically_increasing_id().alias("row"), own.alias("tokens"), "label"), "labelled")
+    n = labelled.count()
+    least = max(1, ceil(support * n - 1e-9))
+    items = _items(labelled, ws, least)
+    members = ws.save(items.groupBy("item").agg(F.sort_array(F.collect_set("token")).alias("members"), F.min("freq").alias("freq")), "members")
+    heads = items.where("token = item")
+    pure = heads.where("n = freq").select(F.array("item").alias("items"), "label", "n", F.lit(1.0).alias("confidence"))
+
+    mixed = [r["item"] for r in heads.where("n < freq").select("item").distinct().collect()]  # bounded by the support, see _items
+    model = None
+    if mixed:
+        rows = labelled.select(F.concat(F.array_intersect("tokens", F.lit(mixed)), F.array(F.concat(F.lit(mark), "label"))).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=confidence).fit(ws.save(rows, "transactions"))
+    rules = pure
+    if model is not None:
+        tokens_ = F.sort_array(F.filter("items", lambda x: ~x.startswith(mark)))
+        found = ws.save(model.freqItemsets.select(tokens_.alias("items"), F.try_element_at(F.filter("items", lambda x: x.startswith(mark)), F.lit(1)).alias("label"), "freq").where(F.size("items") > 0), "found")
+        alone = found.where("label is null").select("items", F.col("freq").alias("of"))
+        both = found.where("label is not null").join(alone, "items")
+        both = both.select("items", F.substr("label", F.lit(len(mark) + 1)).alias("label"), F.col("freq").alias("n"), (F.col("freq") / F.col("of")).alias("confidence"))
+        rules = pure.unionByName(_best(both, ws))
+    rules = rules.where((F.col("confidence") >= confidence) & (F.col("n") >= least))
+    rules = ws.save(rules.select(F.monotonically_increasing_id().alias("rid"), "items", "label", "confidence", (F.col("n") / F.lit(max(n, 1))).alias("support")), "mined")
+    rarest = rules.select("rid", F.explode("items").alias("item")).join(members, "item").groupBy("rid").agg(F.min_by("item", F.struct("freq", "item")).alias("rarest"))
+    return ws.save(rules.join(rarest, "rid"), "rules"), members.select("item", "members")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, support: float = 0.01, confidence: float = 0.8, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -84,8 +140,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, sup
 
     Rules decide where they fit; their verdicts are the labels that the method learns from. Elsewhere the mined
     rule with most confidence (then support, then tokens) decides, and default where none fires. Null urls
-    and urls without '://' have an empty host and path and get the method's verdict. Repeated rows are judged each;
-    an empty table gives no rows; other columns are not read.
+    and urls without '://' have an empty host and path and get the method's verdict. Repeated rows are judged each, null and repeated
+    ids too; an empty table gives no rows; other columns are not read.
     """
     rules = RULES if rules is None else rules
     ws = Workspace(pages.sparkSession, "urls")
@@ -93,13 +149,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, sup
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), rest.alias("rest"))
     rows = rows.select("page_id", "host", "path", tokens(F.col("host"), F.col("path"), F.col("rest")).alias("tokens"), by_rules(F.col("host"), F.col("path"), rules).alias("hit"))
     decided = rows.where("hit is not null")
-    model = mine(decided.select("tokens", F.col("hit.verdict").alias("label")), ws, support, confidence)
+    mined, members = mine(decided.select("tokens", F.col("hit.verdict").alias("label")), ws, support, confidence)
+    whole = mined.select("rid", F.explode("items").alias("item")).join(members, "item").groupBy("rid").agg(F.collect_list("members").alias("all"))
+    index = mined.join(whole, "rid").join(members.withColumnRenamed("item", "rarest"), "rarest")
+    index = index.select(F.explode("members").alias("token"), "all", "label", "confidence", "support")
 
     free = rows.where("hit is null").select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", "tokens")
     free = free.select("*", F.explode_outer("tokens").alias("token"))
-    index = model.select(F.col("rarest").alias("token"), F.col("tokens").alias("all"), "label", "confidence", "support")
     met = free.join(index, "token", "left")
-    fired = F.forall("all", lambda x: F.array_contains("tokens", x))
+    fired = F.forall("all", lambda x: F.arrays_overlap(x, F.col("tokens")))
     best = F.max(F.when(fired, F.struct("confidence", "support", F.size("all").alias("n"), "label")))
     free = met.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
     free = free.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("best.label", F.lit(default)).alias("verdict"), F.when(F.col("best").isNull(), "default").otherwise("mined").alias("method"), F.col("best.confidence").alias("confidence"))
