@@ -28,6 +28,7 @@ VERSION = "WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BREAK = "\nWARC/1."  #: where the reader cuts; pieces are put together again
+SHA256 = "X-Payload-SHA256"  #: own header of a revisit: the payload that it repeats
 DATE, MIN_BYTES = "2024-01-01T00:00:00Z", 0
 
 
@@ -50,7 +51,7 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Three records per row: request, response or revisit, metadata.
 
-    Of rows with equal payloads of at least min_bytes bytes, that with the smallest page_id is a response and
+    Payloads are equal when size and SHA-256 are; the SHA-1 that the records carry decides nothing. Of rows with equal payloads of at least min_bytes bytes, that with the smallest page_id is a response and
     others are revisits; rows that repeat that id are responses as well, and a group whose ids are all null has
     responses only. A null html is an empty payload, a null url leaves its header out; blanks and control characters in
     a url are percent-encoded. An empty table writes no record.
@@ -58,16 +59,16 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = D
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     # one urn per row; of the three records each appends its own suffix
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"sha1": F.sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload")})
+    rows = rows.withColumns({"sha1": F.sha1(F.col("payload").cast("binary")), "sha256": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload")})
     ws = Workspace(pages.sparkSession, "payloads")
-    first = rows.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = rows.where(F.col("bytes") >= min_bytes).groupBy("sha256", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     first = ws.save(first.where("n > 1"), "repeated")
-    rows = rows.join(first, ["sha1", "bytes"], "left").withColumn("urn", F.expr("uuid()"))
+    rows = rows.join(first, ["sha256", "bytes"], "left").withColumn("urn", F.expr("uuid()"))
     again = F.col("n").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     url = F.col("url")
     for plain in [" ", "\r", "\n", "\t", "\0"]:
         url = F.replace(url, F.lit(plain), F.lit(f"%{ord(plain):02X}"))
-    rows = rows.select("page_id", url.alias("url"), "payload", base32_of_hex(F.col("sha1")).alias("sha1"), again.alias("again"), "urn")
+    rows = rows.select("page_id", url.alias("url"), "payload", base32_of_hex(F.col("sha1")).alias("sha1"), "sha256", again.alias("again"), "urn")
 
     def urn(kind: str) -> Column:
         return F.concat(F.lit("<urn:uuid:"), F.col("urn"), F.lit(f":{kind}>" if kind else ">"))
@@ -77,7 +78,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = D
     after = F.when(F.instr("url", "://") > 0, F.substring_index("url", "://", -1)).otherwise(F.lit(""))
     main = [
         ("WARC-Type", F.when(F.col("again"), "revisit").otherwise("response")), ("WARC-Record-ID", urn("")), *common,
-        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), ("WARC-Profile", F.when(F.col("again"), REVISIT)), ("Content-Type", F.lit("application/http; msgtype=response")),
+        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), ("WARC-Profile", F.when(F.col("again"), REVISIT)), (SHA256, F.when(F.col("again"), F.col("sha256"))), ("Content-Type", F.lit("application/http; msgtype=response")),
     ]
     request = [("WARC-Type", F.lit("request")), ("WARC-Record-ID", urn("request")), *common, ("WARC-Concurrent-To", urn("")), ("Content-Type", F.lit("application/http; msgtype=request"))]
     metadata = [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", urn("metadata")), *common, ("WARC-Concurrent-To", urn("")), ("Content-Type", F.lit("application/warc-fields"))]
@@ -126,11 +127,15 @@ class Parser:
             self.at = 0
 
 
-RECORDS = "archive long, type string, record_id string, concurrent_to string, target_uri string, date string, profile string, digest string, content_type string, page_id string, payload_bytes long, payload_digest string, payload binary"
+RECORDS = "archive long, type string, record_id string, concurrent_to string, target_uri string, date string, profile string, digest string, same_as string, content_type string, page_id string, payload_bytes long, payload_digest string, payload_sha256 string, payload binary"
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row per record. payload is the body of an HTTP block, or else the block (null unless payloads)."""
+    """One row per record. payload is the body of an HTTP block, or else the block (null unless payloads).
+
+    page_id is what follows `page-id:` in a metadata record, up to the first blank, so that ids with blanks don't survive. Empty archives
+    give no rows, and neither does a record that is cut off.
+    """
     ship(spark)
     lines = spark.read.option("lineSep", BREAK).text(path).select(F.col("value").cast("binary"), F.xxhash64(F.col("_metadata.file_path")).alias("archive"))
     cut = BREAK.encode()
@@ -139,7 +144,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         body = block.partition(b"\r\n\r\n")[2] if f.get("content-type", "").startswith("application/http") else block
         page = re.search(rb"(?m)^page-id: *(\S+)", block) if f.get("warc-type") == "metadata" else None
         digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-        return (archive, f.get("warc-type"), f.get("warc-record-id"), f.get("warc-concurrent-to"), f.get("warc-target-uri"), f.get("warc-date"), f.get("warc-profile"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, f.get("content-type"), page and page[1].decode("utf-8", "replace"), len(body), digest, body if payloads else None)
+        return (archive, f.get("warc-type"), f.get("warc-record-id"), f.get("warc-concurrent-to"), f.get("warc-target-uri"), f.get("warc-date"), f.get("warc-profile"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, f.get(SHA256.lower()), f.get("content-type"), page and page[1].decode("utf-8", "replace"), len(body), digest, hashlib.sha256(body).hexdigest(), body if payloads else None)
 
     names = [x.split()[0] for x in RECORDS.split(", ")]
     types = [{"long": pa.int64(), "binary": pa.binary()}.get(x.split()[1], pa.string()) for x in RECORDS.split(", ")]
@@ -173,7 +178,7 @@ def assemble(records: DataFrame) -> DataFrame:
     with the smallest record id stands in the row, and the counts tell of the others. Requests and metadata whose
     response is missing make a row with a null response. Aggregation is partial before the shuffle.
     """
-    fields = ["record_id", "type", "target_uri", "date", "profile", "digest", "content_type", "page_id", "payload_bytes", "payload_digest", "payload"]
+    fields = ["record_id", "type", "target_uri", "date", "profile", "digest", "same_as", "content_type", "page_id", "payload_bytes", "payload_digest", "payload_sha256", "payload"]
     one = F.struct(*fields)
     main = F.col("type").isin("response", "revisit", "resource")
 
@@ -187,23 +192,31 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def resolve(captures: DataFrame, ws: Workspace) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits get the payload of the response with their digest."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits get the payload of the response that they repeat.
+
+    Which one that is tells the SHA-256 of payloads, or for a revisit without one their SHA-1. A revisit whose response is missing keeps
+    the digest that it states, with null bytes; a capture without a response has nulls but for its page_id.
+    """
     flat = captures.select(
-        F.col("metadata.page_id").cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
-        F.coalesce("response.digest", "response.payload_digest").alias("payload_digest"), F.col("response.payload_digest").alias("actual"), F.col("response.type").alias("record_type"),
+        F.col("metadata.page_id").cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("digest"),
+        F.col("response.payload_digest").alias("actual"), F.col("response.payload_sha256").alias("sha256"), F.col("response.same_as").alias("same_as"), F.col("response.type").alias("record_type"),
     )
     flat = ws.save(flat, "captures")
-    first = flat.where("record_type = 'response'").groupBy(F.col("actual").alias("payload_digest")).agg(F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("full"))
-    again = join_on(flat.where("record_type = 'revisit'"), first, ["payload_digest"], "left")
+    keys = flat.where("record_type = 'response'").select(F.explode(F.array("sha256", "actual")).alias("key"), "page_id", "payload_bytes")
+    first = keys.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("full"))
+    again = flat.where("record_type = 'revisit'").withColumn("key", F.coalesce("same_as", "digest"))
+    again = join_on(again, first, ["key"], "left")
     rest = flat.where("record_type is distinct from 'revisit'")
-    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return rest.select("page_id", "payload_bytes", F.col("actual").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(again.select("page_id", F.col("full").alias("payload_bytes"), *cols[2:]))
+    rest = rest.select("page_id", "payload_bytes", F.col("actual").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return rest.unionByName(again.select("page_id", F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "warc")
     write(table(spark, sf_dir, "pages"), f"{ws.path}/archives")
-    return resolve(assemble(read(spark, f"{ws.path}/archives", payloads=False)), ws)
+    rows = resolve(assemble(read(spark, f"{ws.path}/archives", payloads=False)), ws)  # saved, but for the join of revisits
+    ws.drop("archives")
+    return rows
 
 
 SQL = """
