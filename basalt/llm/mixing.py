@@ -6,8 +6,9 @@ total, document total): three undecided documents at a time, until one of them i
 buckets of a source, in parallel; each leaves two undecided documents at most, which fly again in buckets of
 their own until a source has one; the landing phase rounds its last two so that the token total is met best.
 
-Skew: buckets are cut from hashes so that each has about bucket_rows rows however large the source is.
-Only ids and sizes are shuffled, never text.
+Skew: the rows of a source are ranked in a seeded order, by a range sort, and cut into buckets of bucket_rows ranks; so no
+bucket has more, however large the source is and however often an id or a whole row repeats.
+Only ids, hashes and sizes are shuffled, never text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_on, table
+from .common import Workspace, join_on, numbered_rows, place, ranked, table
 from .words import count_runs
 
 WEIGHTS, MOST, BUCKET_ROWS, SEED = (5, 2, 1), 3, 2_000, 8
@@ -75,7 +76,7 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _flown(land: bool, seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["mix", "size", "doc_id"], kind="stable", na_position="first")
+        rows = rows.sort_values("rank", kind="stable")
         first = rows.iloc[0]
         name = f"{seed}|{first['source']}|{first['bucket']}|{land}"
         size = rows["size"].to_numpy()
@@ -86,8 +87,9 @@ def _flown(land: bool, seed: int):
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, hash_col: str) -> DataFrame:
-    """doc_id, source, size (runs of other than ASCII white space; null: 0), mix (a seeded hash that orders rows)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col(hash_col)).alias("mix"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, source, size (runs of other than ASCII white space; null: 0), mix (a seeded hash of id and text that orders rows)."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col(hash_col), text).alias("mix"), text.alias("text"))
     schema = rows.drop("text").schema.add("size", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,16 +122,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """One row per input row: doc_id, size, source, source_size, target, copies, taken = copies * size.
 
     Null texts have size 0, null sources are one source. A source without words has target 0 and is taken 0
-    times. Runs agree: order and draws come from hashes of doc_id (or of hash_col, if given). Rows that repeat an id are rows of their own; equal ones are
-    interchangeable. An empty table gives no rows. Other columns are not read.
+    times. Runs agree: order and draws come from hashes of text and doc_id (or hash_col, if given). Rows that repeat an id, null
+    or not, are rows of their own; equal ones are interchangeable. An empty table gives no rows. Other columns are not read.
     """
     ws = Workspace(docs.sparkSession, "mix")
     rows = ws.save(sizes(docs, id_col, text_col, source_col, seed, hash_col or id_col), "sizes")
     per = ws.save(targets(rows, weights, most), "targets")
+    order = ["mix", "size", *([] if hash_col else ["doc_id"]), "place"]
+    rows = ranked(numbered_rows(ws, rows.withColumn("place", place()), [F.asc_nulls_last("source"), *order], "ordered"), "source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = join_on(rows, per, ["source"]).withColumn("rate", rate)
-    rows = rows.withColumns({"whole": F.floor(F.col("rate") + 1e-12), "buckets": F.ceil(F.col("docs") / bucket_rows)})
-    rows = rows.select("doc_id", "source", "mix", "size", "source_size", "target", "whole", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)).alias("p"), F.pmod(F.col("mix"), "buckets").alias("bucket"))
+    rows = join_on(rows.drop("of"), per, ["source"]).withColumn("rate", rate)
+    rows = rows.withColumns({"whole": F.floor(F.col("rate") + 1e-12), "bucket": F.expr(f"rank div {bucket_rows}")})
+    rows = rows.select("doc_id", "source", "rank", "size", "source_size", "target", "whole", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)).alias("p"), "bucket")
     largest = per.agg(F.max("docs")).first()[0] or 0
     inside = (F.col("p") > 0) & (F.col("p") < 1)
     level, out = 0, None
@@ -143,13 +147,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
         out = done if out is None else out.unionByName(done)
         level, largest = level + 1, 2 * -(-largest // bucket_rows)  # a bucket leaves two rows at most
         buckets = -(-largest // bucket_rows)
-        rows = flown.where(inside).withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), "mix"), F.lit(buckets)))
+        rows = flown.where(inside).withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), "rank"), F.lit(buckets)))
     out = out.unionByName(flown).withColumn("copies", (F.col("whole") + F.col("p")).cast("long"))
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it."""
+    """The documents themselves, all columns, each row as often as the mix takes it: none, once, or up to `most` times.
+
+    Reads the columns doc_id, text and source, which may hold nulls; rows that repeat, in part or as a whole, are rows of their own
+    and told apart by their place. Empty texts count 0 words and are taken by the same chance as any other of their source. An empty
+    table stays empty; other columns, whatever their names, go along.
+    """
     ws = Workspace(docs.sparkSession, "mixed")
     held = ws.save(docs.select(F.struct("*").alias("row")).withColumn("uid", F.monotonically_increasing_id()), "rows")
     flat = held.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"))

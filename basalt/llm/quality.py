@@ -177,7 +177,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
 
 
 def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted. Null texts are scored as empty ones."""
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    Null texts are scored as empty ones, whole texts of any length at once; null ids count as empty texts for held_out; repeated rows
+    get the same score each. An empty table gives no rows; other columns are not read.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # rounds x 2^depth nodes, whatever the corpus
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -192,7 +196,11 @@ def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, id_col: s
 
 
 def keep(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The documents that score at least threshold, with all their columns."""
+    """The rows of docs that score at least threshold, all columns as they are, whatever their names.
+
+    Null texts are scored as empty ones; only the text is read, so that null and repeated ids don't matter; repeated rows stay or go
+    together. An empty table stays empty.
+    """
     ship(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index(text_col)
 
