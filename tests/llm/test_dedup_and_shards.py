@@ -4,9 +4,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from llm_helpers import texts, words
+import pytest
+from llm_helpers import brute_force, shingled, texts, words
 
-from basalt.llm import exact_dedup, lines, near, sharding
+from basalt.llm import exact_dedup, lines, links, near, sharding
 from basalt.llm.words import blocks
 
 
@@ -45,28 +46,11 @@ def test_interleave(docs, empty, odd_ids):
     assert sharding.interleave(empty).collect() == []
     few = sharding.interleave(odd_ids).collect()
     assert len({(r["shard"], r["slot"]) for r in few}) == 6
-
-
-def shingled(text):
-    w = words(text)
-    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-
-def brute_force(by_id):
-    """doc_id to (class, links, copies)."""
-    copies = defaultdict(list)
-    for d, t in by_id.items():
-        copies[t].append(d)
-    sets = {t: shingled(t) for t in copies}
-    linked = {t: [u for u in sets if u != t and sets[t] and sets[u] and 5 * len(sets[t] & sets[u]) >= 4 * len(sets[t] | sets[u])] for t in sets}
-    out = {}
-    for t in sets:
-        seen, todo = {t}, [t]
-        while todo:
-            todo += [u for u in linked[todo.pop()] if u not in seen and not seen.add(u)]
-        for d in copies[t]:
-            out[d] = (min(min(copies[u]) for u in seen), len(linked[t]), len(copies[t]))
-    return out
+    whole = sharding.placed(docs)
+    assert whole.columns == [f"docs_{c}" if c in sharding.PLACED else c for c in docs.columns] + sharding.PLACED
+    of = {r["doc_id"]: (r["shard"], r["slot"]) for r in got}
+    assert {(r["doc_id"], r["text"]): (r["shard"], r["slot"]) for r in whole.collect()} == {(d, rows[d]["text"]): s for d, s in of.items()}
+    assert sharding.placed(empty).collect() == [] and len({(r["shard"], r["slot"]) for r in sharding.placed(odd_ids).collect()}) == 6
 
 
 def test_near_duplicates(spark, docs, empty, odd_ids, monkeypatch):
@@ -102,6 +86,32 @@ def test_links_with_empty_blocks(spark, monkeypatch):
     assert {r[0]: tuple(r)[1:4] for r in near.similar(df).collect()} == want
 
 
+def test_bands_follow_the_threshold(spark):
+    assert [near.band_rows(t) for t in (1.0, 0.8, 0.6, 0.5, 0.2)] == [4, 4, 2, 2, 1]
+    for t in (0.0, 0.05, 1.5):
+        with pytest.raises(ValueError, match="can't be told"):
+            near.band_rows(t)
+    base = [f"b{k}" for k in range(60)]
+    df = spark.createDataFrame([(k, " ".join([*base[k:], *[f"n{k}x{j}" for j in range(k)]])) for k in range(0, 18, 3)], "doc_id long, text string")
+    by_id = texts(df)
+    got = {r["doc_id"]: r["n_links"] for r in near.similar(df, threshold=0.6).collect()}
+    sets = {d: shingled(t) for d, t in by_id.items()}
+    assert got == {d: sum(5 * len(s & u) >= 3 * len(s | u) for e, u in sets.items() if e != d) for d, s in sets.items()} and max(got.values()) > 2
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sets = [np.unique(rng.integers(0, 12, rng.integers(0, 12))) for _ in range(rng.integers(1, 20))]
+        block = rng.integers(0, 2, len(sets))
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        flat = np.concatenate(sets).astype(np.int64)
+        for own in (None, block if block.min() != block.max() else None):
+            got = sorted((min(i, j), max(i, j)) for i, js in links.overlaps(flat, begin, own, 0.6) for j in js.tolist())
+            want = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i]) and len(sets[j]) and 5 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j])) and (own is None or own[i] != own[j])]
+            assert got == want
+
+
 def test_posterior():
     least = [near.least_matches(n) for n in range(16, 97, 16)]
     assert least == sorted(least) and 0 < least[0] < 0.8 * 16 and least[-1] < 0.8 * 96
@@ -132,6 +142,7 @@ def test_lines(docs, empty, odd_ids, monkeypatch):
         assert (left[d] or "") == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d][0])
     monkeypatch.setattr("basalt.llm.lines.HOT_ROWS", 3)
     monkeypatch.setattr("basalt.llm.lines.BLOCK_ROWS", 2)
+    monkeypatch.setattr("basalt.llm.lines.LARGE_ROWS", 1)
     monkeypatch.setattr("basalt.llm.links.BLOCK_ROWS", 2)
     assert {r["doc_id"]: (r["removed_lines"], r["n_links"]) for r in lines.matches(docs).collect()} == want
     monkeypatch.undo()

@@ -10,16 +10,17 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from basalt.llm import decontaminate, mixing, quality, tokens, urls, warc
+from basalt.llm import decontaminate, lines, mixing, near, quality, tokens, urls, warc
 from basalt.llm.common import Workspace
-from basalt.llm.words import blocks, shingles
+from basalt.llm.words import blocks, numbered, numbered_shingles, shingles
 
-from llm_helpers import texts, words
+from llm_helpers import contamination, fill, texts, words
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -146,38 +147,95 @@ def test_urls(spark):
     assert urls.judge(pages.where("false")).collect() == []
 
 
-def test_mined_rules(spark):
-    rng = random.Random(2)
-    rows = [(sorted(rng.sample(["a", "b", "c", "d", "e"], rng.randrange(1, 5))), None) for _ in range(200)]
-    rows = [(t, "block" if "a" in t and "c" in t or rng.random() < 0.1 else "allow") for t, _ in rows]
-    support, confidence = 0.05, 0.75
+def all_rules(rows, support, confidence):
+    """(tokens, label) to (confidence, support), by every combination of tokens."""
     want = {}
-    for size in range(1, 6):
-        for combo in itertools.combinations("abcde", size):
+    names = sorted({t for ts, _ in rows for t in ts})
+    for size in range(1, len(names) + 1):
+        for combo in itertools.combinations(names, size):
             has = [label for t, label in rows if set(combo) <= set(t)]
             for label in urls.LABELS:
                 n = has.count(label)
-                if n >= math.ceil(support * len(rows)) and n / len(has) >= confidence:
-                    want[combo, label] = n / len(has)
-    want = {k: c for k, c in want.items() if not any(set(q) < set(k[0]) and label == k[1] and d >= c for (q, label), d in want.items())}
-    df = spark.createDataFrame(rows, "tokens array<string>, label string")
-    got = {(tuple(r["tokens"]), r["label"]): r["confidence"] for r in urls.mine(df, Workspace(spark, "test"), support, confidence).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    frequency = Counter(t for ts, _ in rows for t in ts)
-    for r in urls.mine(df, Workspace(spark, "test"), support, confidence).collect():
-        assert frequency[r["rarest"]] == min(frequency[t] for t in r["tokens"])
-
-
-def fill(sizes, weights, most):
-    caps = {s: most * n for s, n in sizes.items()}
-    total, out, free = sum(sizes.values()), {}, set(sizes)
-    while True:
-        share = (total - sum(out.values())) / sum(weights[s] for s in free) if free else 0
-        over = {s for s in free if share * weights[s] > caps[s]}
-        if not over:
-            return out | {s: share * weights[s] for s in free}
-        out |= {s: caps[s] for s in over}
-        free -= over
+                if has and n >= math.ceil(support * len(rows) - 1e-9) and n / len(has) >= confidence:
+                    want[combo, label] = (n / len(has), n / len(rows))
+    return {k: c for k, c in want.items() if not any(set(q) < set(k[0]) and label == k[1] and d[0] >= c[0] for (q, label), d in want.items())}
+
+
+def test_mined_rules(spark):
+    rng = random.Random(2)
+    for together in ([], ["x", "y"]):  # tokens that always come along with a, and one that is always blocked
+        rows = [(sorted(rng.sample(["a", "b", "c", "d", "e"], rng.randrange(1, 5))), None) for _ in range(200)]
+        rows = [(t + together * ("a" in t) + ["p"] * (k % 7 == 0), "block" if k % 7 == 0 or "a" in t and "c" in t or rng.random() < 0.1 else "allow") for k, (t, _) in enumerate(rows)]
+        support, confidence = 0.05, 0.75
+        want = all_rules(rows, support, confidence)
+        df = spark.createDataFrame([*rows, (None, None)], "tokens array<string>, label string")
+        rules, members = urls.mine(df, Workspace(spark, "test"), support, confidence)
+        of = {r["item"]: r["members"] for r in members.collect()}
+        assert not together or of["a"] == ["a", "x", "y"]
+        got = {}
+        frequency = Counter(t for ts, _ in rows for t in ts)
+        for r in rules.collect():
+            for combo in itertools.product(*(of[x] for x in r["items"])):
+                got[tuple(sorted(combo)), r["label"]] = (r["confidence"], r["support"])
+            assert frequency[r["rarest"]] == min(frequency[t] for t in r["items"])
+        assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+        assert (("p",), "block") in want and any(len(k[0]) > 1 for k in want)
+
+
+def url_tokens(url):
+    """host, path and tokens, by plain string functions."""
+    rest = url.partition("://")[2] if url and "://" in url else ""
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    ext = re.search(r"\.([A-Za-z0-9]{1,5})$", path)
+    host_ = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    query = rest[len(host) + len(path) :]
+    out = {f"h:{x}" for x in host_.split(".")} | {f"p:{x}" for x in path.split("/")} | {f"q:{x}" for x in re.findall("[?&]([^=&#]+)", query)}
+    return host_, path, {x for x in out | ({f"x:{ext[1]}"} if ext else set()) if len(x) > 2}
+
+
+def test_verdicts_of_unruled_urls(spark):
+    rng = random.Random(4)
+    words_ = ["ads", "news", "shop", "en", "de", "img"]
+    pages = []
+    for k in range(300):
+        host = rng.choice(["a.net", "b.net", "www.example.net", "example.com", "x.example.com", "c.org", "d.info", "e.com"])
+        path = "/" + "/".join(["en" if "example.net" in host else "de" if "example.com" in host else "fr" if host == "c.org" and k % 3 else "z", *rng.sample(words_, 2)])
+        pages.append((k, f"http://{host}{path}{rng.choice(['', '/', '.html', '.gif'])}{rng.choice(['', '?id=1', '?id=1&ref=2'])}"))
+    pages.append((300, None))
+    labelled, free = [], {}
+    for k, url in pages:
+        host, path, has = url_tokens(url)
+        fit = [(len(h + p), v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fit:
+            labelled.append((sorted(has), max(fit)[1]))
+        else:
+            free[k] = has
+    best = {}
+    weighed = Counter((tuple(t), v) for t, v in labelled)  # every combination of up to three tokens that a url to be judged has
+    for k, has in free.items():
+        found = []
+        for size in range(1, 4):
+            for combo in itertools.combinations(sorted(has), size):
+                of = Counter()
+                for (t, v), n in weighed.items():
+                    of[v] += n * (set(combo) <= set(t))
+                found += [(combo, v, n / of.total(), n / len(labelled)) for v, n in of.items() if n >= math.ceil(0.01 * len(labelled) - 1e-9) and n / of.total() >= 0.8]
+        kept = [x for x in found if not any(set(y[0]) < set(x[0]) and y[1] == x[1] and y[2] >= x[2] for y in found)]
+        best[k] = max(((c, s, len(t), v) for t, v, c, s in kept), default=None)
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string").repartition(3)).collect()}
+    assert len(got) == len(pages) and len(free) > 30 and len({v and v[3] for v in best.values()}) > 1
+    for k in free:
+        want = best[k]
+        assert got[k]["rule"] is None and got[k]["method"] == ("mined" if want else "default")
+        assert got[k]["verdict"] == (want[3] if want else "allow") and (want is None or abs(got[k]["confidence"] - want[0]) < 1e-9)
+
+
+def test_many_names_that_come_along(spark):
+    names = "&".join(f"n{k}={k}" for k in range(40))
+    pages = [(k, f"http://{'example.com/de' if k % 2 else 'a.org/fr'}/{k % 5}?{names}") for k in range(200)] + [(200, f"http://b.info/{3}?{names}")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert len(got) == 201 and got[200]["rule"] is None
 
 
 def test_mixing(spark, docs, empty, odd_ids):
@@ -199,6 +257,9 @@ def test_mixing(spark, docs, empty, odd_ids):
         assert abs(taken[s] - t) <= max(sorted(size[d] for d, r in rows.items() if r["source"] == s)[-1], 1)
     assert mixing.mix(empty).collect() == [] and mixing.mix(odd_ids).count() == 6
     copies = Counter(r["doc_id"] for r in mixing.mixed_rows(docs).collect())
+    same = spark.createDataFrame([(None, "a b c", "s")] * 900 + [(None, "d e", "t")] * 100, "doc_id long, text string, source string")
+    few = [sorted(tuple(r) for r in mixing.mix(same.repartition(n), bucket_rows=40).select("size", "source", "taken").collect()) for n in (2, 3)]
+    assert few[0] == few[1] and len(few[0]) == 1000
     assert mixing.mixed_rows(docs).columns == docs.columns and max(copies.values()) <= 3
 
 
@@ -214,22 +275,86 @@ def test_flight(units, seed):
     assert set(landed.tolist()) <= {0.0, 1.0}
 
 
+def test_buckets_of_rows_without_ids(spark, monkeypatch):
+    inner = mixing._flown
+
+    def counted(land, seed):
+        run = inner(land, seed)
+        return lambda rows: run(rows).assign(whole=len(rows))
+
+    monkeypatch.setattr(mixing, "_flown", counted)  # copies then tell how many rows the last bucket of a row had
+    same = spark.createDataFrame([(None, f"x {k % 3}", "s") for k in range(500)] + [(k, "y " * 30, "t") for k in range(9)], "doc_id long, text string, source string")
+    assert max(r["copies"] for r in mixing.mix(same, bucket_rows=40, most=9).where("source = 's'").collect()) <= 41
+
+
+def prouhet(n=1024):
+    """Two words of n letters that have one hash under any polynomial modulo 2^64."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = prouhet()
+    b = next(blocks(pa.array([f"{one} {two} {one.upper()}"])))
+    assert b.hashes[0] == b.hashes[2] != b.hashes[1]
+    library, encoder = Tokenizer.from_file(TOKENIZER), tokens.Encoder(open(TOKENIZER, encoding="utf-8").read())
+    _, ids, ends = next(encoder.encode(pa.array([one, two])))
+    assert [ids[: ends[0]].tolist(), ids[ends[0] :].tolist()] == [x.ids for x in library.encode_batch([one, two], add_special_tokens=False)]
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, two)], "item_id long, text string")
+    assert [r["contaminated"] for r in decontaminate.Decontaminator(df, bench).report(df).orderBy("doc_id").collect()] == [False, True]
+    assert [r["n_links"] for r in near.similar(df).collect()] == [0, 0]
+    assert [r["n_removed"] for r in lines.matches(df).collect()] == [0, 0]
+
+
+def clashing(buf, starts, ends, seed=0):
+    """A hash under which most spans of one size collide."""
+    return (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+
+
+def test_bytes_decide_where_hashes_clash(monkeypatch):
+    monkeypatch.setattr("basalt.llm.words.span_hashes", clashing)
+    monkeypatch.setattr("basalt.llm.tokens.span_hashes", clashing)
+    some = ["ab cd ab", "cd ab ef gh ij kl ab", "", "Ab cD", "xy"]
+    b = next(blocks(pa.array(some)))
+    number, first = numbered(b.low, b.starts, b.ends, b.hashes)
+    flat = [w for t in some for w in words(t)]
+    assert all((x == y) == (number[i] == number[j]) for i, x in enumerate(flat) for j, y in enumerate(flat))
+    codes, at = numbered_shingles(number, b.at, 2)
+    sets = [set(codes[at[k] : at[k + 1]].tolist()) for k in range(len(some))]
+    grams = [{tuple(words(t)[k : k + 2]) for k in range(max(1, len(words(t)) - 1))} if words(t) else set() for t in some]
+    assert all(len(x & y) == len(f & g) for x, f in zip(sets, grams, strict=True) for y, g in zip(sets, grams, strict=True))
+    library, encoder = Tokenizer.from_file(TOKENIZER), tokens.Encoder(open(TOKENIZER, encoding="utf-8").read())
+    _, ids, ends = next(encoder.encode(pa.array(some)))
+    assert [ids[a:e].tolist() for a, e in zip([0, *ends[:-1]], ends, strict=True)] == [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+    index = decontaminate.Index(["1"], ["ab"], 10, np.zeros(1 << 20, np.int64), 0)
+    start, _ = index.occurrences(b)
+    assert start.tolist() == [k for k, w in enumerate(flat) if w == "ab"]
+    with pytest.raises(decontaminate.HashClash):
+        decontaminate.Index(["1"], ["ab cd"], 10, np.zeros(1 << 20, np.int64), 0)
+
+
+def test_long_texts_and_words(spark):
+    rng = random.Random(8)
+    word = "".join(rng.choice("abcdefgh") for _ in range(1 << 20))
+    text = " ".join(f"w{rng.randrange(50000)}" for _ in range(900_000))
+    df = spark.createDataFrame([(1, word), (2, word + "x"), (3, text), (4, text + " more"), (5, word.upper())], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.similar(df).collect()}
+    assert got == {1: (1, 1), 2: (2, 0), 3: (3, 1), 4: (3, 1), 5: (1, 1)}
+    assert {r["doc_id"]: r["n_removed"] for r in lines.matches(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1}
+    bench = spark.createDataFrame([(1, word), (2, text[-300:])], "item_id long, text string")
+    got = {r["doc_id"]: r["n_items"] for r in decontaminate.Decontaminator(df, bench).report(df).collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 1, 5: 1}
+
+
 def test_decontamination(spark, docs, empty, monkeypatch):
     by_id = texts(docs)
     long = max(by_id.values(), key=len).split()
     items = [(1, " ".join(long[50:80]).upper()), (2, " ".join(long[60:70])), (3, "w1 w2"), (4, None), (5, "..."), (6, "one"), (7, " ".join(long[100:109])), (8, " ".join(f"none{k}" for k in range(30))), (12, "one")]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, node string")
-    want = {}
-    for d, t in by_id.items():
-        w, hit, found = words(t), set(), set()
-        for i, x in items:
-            x = words(x or "")
-            n = min(10, len(x))
-            wins = {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} if n else set()
-            at = [k for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in wins] if wins else []
-            hit |= {k + j for k in at for j in range(n)}
-            found |= {str(i)} if at else set()
-        want[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    want = {d: contamination(t, items) for d, t in by_id.items()}
     assert sum(x[4] for x in want.values()) >= 3 and not all(x[4] for x in want.values())
     for words_at_once in (1 << 18, 5):  # the second cuts the benchmark into blocks
         monkeypatch.setattr("basalt.llm.decontaminate.BLOCK_WORDS", words_at_once)
