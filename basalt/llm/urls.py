@@ -18,7 +18,7 @@ from __future__ import annotations
 from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
@@ -62,15 +62,13 @@ def by_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
 def _items(labelled: DataFrame, ws: Workspace, least: int) -> DataFrame:
     """token, label, n (rows with both), freq (rows with the token), item: the smallest token of the same rows. Tokens in at least so many rows.
 
-    At most 1 / support times a row's tokens. Counts are aggregated before the shuffle.
+    At most 1 / support times a row's tokens; the window runs over these alone. Counts are aggregated before the shuffle.
     """
     each = labelled.select(F.explode("tokens").alias("token"), "label", F.xxhash64(F.lit(1), "row").alias("a"), F.xxhash64(F.lit(2), "row").alias("b"))
     per = each.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-    per = ws.save(per, "per_label")
-    whole = per.groupBy("token").agg(F.sum("n").alias("freq"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).where(F.col("freq") >= least)
-    item = whole.groupBy("freq", "a", "b").agg(F.min("token").alias("item"))
-    whole = whole.join(item, ["freq", "a", "b"]).select("token", "freq", "item")
-    return ws.save(per.select("token", "label", "n").join(whole, "token"), "items")
+    whole = per.groupBy("token").agg(F.sum("n").alias("freq"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.collect_list(F.struct("label", "n")).alias("per")).where(F.col("freq") >= least)
+    whole = whole.withColumn("item", F.min("token").over(Window.partitionBy("freq", "a", "b")))
+    return ws.save(whole.select("token", "freq", "item", F.inline("per")), "items")
 
 
 def _best(sets: DataFrame, ws: Workspace) -> DataFrame:
@@ -80,31 +78,25 @@ def _best(sets: DataFrame, ws: Workspace) -> DataFrame:
     """
     sets = ws.save(sets.withColumn("size", F.size("items")), "sets")
     longest = sets.agg(F.max("size")).first()[0] or 0
-    kept, best = [], None
-    for k in range(1, longest + 1):
+    out = best = sets.where("size = 1").withColumns({"below": F.lit(0.0), "best": F.col("confidence")})
+    for k in range(2, longest + 1):
         own = sets.where(F.col("size") == k)
-        if best is None:
-            own = own.withColumn("below", F.lit(0.0))
-        else:
-            less = own.select("items", "label", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("fewer"))
-            below = less.join(best.select(F.col("items").alias("fewer"), "label", "best"), ["fewer", "label"]).groupBy("items", "label").agg(F.max("best").alias("below"))
-            own = own.join(below, ["items", "label"])
-        own = ws.save(own.withColumn("best", F.greatest("confidence", "below")), f"best{k}")
-        kept.append(own.where(F.col("confidence") > F.col("below")))
-        best = own
-    out = sets.where("false").select("items", "label", "n", "confidence")
-    for x in kept:
-        out = out.unionByName(x.select("items", "label", "n", "confidence"))
-    return out
-
-
-def mine(labelled: DataFrame, ws: Workspace, support: float = 0.01, confidence: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """From (tokens, label) rules (rid, items, label, confidence, support, rarest) and members (item, members).
-
-    An item stands for the tokens that occur in the same rows as it; a rule holds for any choice of one member of each of its items.
-    All rows with a label count. Pruned: less support or confidence than asked for, and rules whose tokens contain those of another rule
-    with the same label and no less confidence. Repeated rows count as often as they occur; rows without tokens count as rows. An empty
-    input gives no rules.
+        less = own.select("items", "label", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("fewer"))
+        below = less.join(best.select(F.col("items").alias("fewer"), "label", "best"), ["fewer", "label"]).groupBy("items", "label").agg(F.max("best").alias("below"))
+        best = own.join(below, ["items", "label"]).select(*own.columns, "below", F.greatest("confidence", "below").alias("best"))
+        if k % 4 == 0:
+            best = ws.save(best, f"best{k}")  # plans stay small
+        out = out.unionByName(best)
+    return out.where("confidence > below").select("items", "label", "n", "confidence")
+
+
+def mine(labelled: DataFrame, ws: Workspace, support: float = 0.01, confidence: float = 0.8) -> DataFrame:
+    """Rules from (tokens, label): items, label, confidence, support, rarest, all, rare.
+
+    An item stands for the tokens that occur in the same rows as it, its members; a rule holds for any choice of one member of each of
+    its items (all: their members; rare: those of rarest, the item in the fewest rows). All rows with a label count. Pruned: less
+    support or confidence than asked for, and rules whose tokens contain those of another rule with the same label and no less
+    confidence. Repeated rows count as often as they occur; rows without tokens count as rows. An empty input gives no rules.
     """
     mark = "label="
     own = F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))
@@ -112,27 +104,23 @@ def mine(labelled: DataFrame, ws: Workspace, support: float = 0.01, confidence:
     n = labelled.count()
     least = max(1, ceil(support * n - 1e-9))
     items = _items(labelled, ws, least)
-    members = ws.save(items.groupBy("item").agg(F.sort_array(F.collect_set("token")).alias("members"), F.min("freq").alias("freq")), "members")
     heads = items.where("token = item")
-    pure = heads.where("n = freq").select(F.array("item").alias("items"), "label", "n", F.lit(1.0).alias("confidence"))
-
+    rules = heads.where("n = freq").select(F.array("item").alias("items"), "label", "n", F.lit(1.0).alias("confidence"))
     mixed = [r["item"] for r in heads.where("n < freq").select("item").distinct().collect()]  # bounded by the support, see _items
-    model = None
     if mixed:
         rows = labelled.select(F.concat(F.array_intersect("tokens", F.lit(mixed)), F.array(F.concat(F.lit(mark), "label"))).alias("items"))
-        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=confidence).fit(ws.save(rows, "transactions"))
-    rules = pure
-    if model is not None:
-        tokens_ = F.sort_array(F.filter("items", lambda x: ~x.startswith(mark)))
-        found = ws.save(model.freqItemsets.select(tokens_.alias("items"), F.try_element_at(F.filter("items", lambda x: x.startswith(mark)), F.lit(1)).alias("label"), "freq").where(F.size("items") > 0), "found")
-        alone = found.where("label is null").select("items", F.col("freq").alias("of"))
-        both = found.where("label is not null").join(alone, "items")
-        both = both.select("items", F.substr("label", F.lit(len(mark) + 1)).alias("label"), F.col("freq").alias("n"), (F.col("freq") / F.col("of")).alias("confidence"))
-        rules = pure.unionByName(_best(both, ws))
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=confidence).fit(rows)
+        is_label = F.filter("items", lambda x: x.startswith(mark))
+        found = model.freqItemsets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(mark))).alias("items"), F.substr(F.try_element_at(is_label, F.lit(1)), F.lit(len(mark) + 1)).alias("label"), "freq")
+        both = found.where(F.size("items") > 0).groupBy("items").agg(F.max(F.when(F.col("label").isNull(), F.col("freq"))).alias("of"), F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", F.col("freq").alias("n")))).alias("per"))
+        both = both.select("items", "of", F.inline("per")).select("items", "label", "n", (F.col("n") / F.col("of")).alias("confidence"))
+        rules = rules.unionByName(_best(both, ws))
     rules = rules.where((F.col("confidence") >= confidence) & (F.col("n") >= least))
-    rules = ws.save(rules.select(F.monotonically_increasing_id().alias("rid"), "items", "label", "confidence", (F.col("n") / F.lit(max(n, 1))).alias("support")), "mined")
-    rarest = rules.select("rid", F.explode("items").alias("item")).join(members, "item").groupBy("rid").agg(F.min_by("item", F.struct("freq", "item")).alias("rarest"))
-    return ws.save(rules.join(rarest, "rid"), "rules"), members.select("item", "members")
+    members = items.groupBy("item").agg(F.sort_array(F.collect_set("token")).alias("members"), F.min("freq").alias("freq"))
+    each = rules.select("items", "label", "n", "confidence", F.explode("items").alias("item")).join(members, "item")
+    order = F.struct("freq", "item")
+    each = each.groupBy("items", "label", "confidence", (F.col("n") / F.lit(max(n, 1))).alias("support"))
+    return ws.save(each.agg(F.min_by("item", order).alias("rarest"), F.collect_list("members").alias("all"), F.min_by("members", order).alias("rare")), "rules")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, support: float = 0.01, confidence: float = 0.8, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -149,10 +137,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, sup
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), rest.alias("rest"))
     rows = rows.select("page_id", "host", "path", tokens(F.col("host"), F.col("path"), F.col("rest")).alias("tokens"), by_rules(F.col("host"), F.col("path"), rules).alias("hit"))
     decided = rows.where("hit is not null")
-    mined, members = mine(decided.select("tokens", F.col("hit.verdict").alias("label")), ws, support, confidence)
-    whole = mined.select("rid", F.explode("items").alias("item")).join(members, "item").groupBy("rid").agg(F.collect_list("members").alias("all"))
-    index = mined.join(whole, "rid").join(members.withColumnRenamed("item", "rarest"), "rarest")
-    index = index.select(F.explode("members").alias("token"), "all", "label", "confidence", "support")
+    mined = mine(decided.select("tokens", F.col("hit.verdict").alias("label")), ws, support, confidence)
+    index = mined.select(F.explode("rare").alias("token"), "all", "label", "confidence", "support")
 
     free = rows.where("hit is null").select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", "tokens")
     free = free.select("*", F.explode_outer("tokens").alias("token"))

@@ -169,15 +169,14 @@ def test_mined_rules(spark):
         support, confidence = 0.05, 0.75
         want = all_rules(rows, support, confidence)
         df = spark.createDataFrame([*rows, (None, None)], "tokens array<string>, label string")
-        rules, members = urls.mine(df, Workspace(spark, "test"), support, confidence)
-        of = {r["item"]: r["members"] for r in members.collect()}
-        assert not together or of["a"] == ["a", "x", "y"]
+        rules = urls.mine(df, Workspace(spark, "test"), support, confidence)
+        assert not together or ["a", "x", "y"] in [m for r in rules.collect() for m in r["all"]]
         got = {}
         frequency = Counter(t for ts, _ in rows for t in ts)
         for r in rules.collect():
-            for combo in itertools.product(*(of[x] for x in r["items"])):
+            for combo in itertools.product(*r["all"]):
                 got[tuple(sorted(combo)), r["label"]] = (r["confidence"], r["support"])
-            assert frequency[r["rarest"]] == min(frequency[t] for t in r["items"])
+            assert frequency[r["rarest"]] == min(frequency[t] for t in r["items"]) and r["rarest"] in r["rare"]
         assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
         assert (("p",), "block") in want and any(len(k[0]) > 1 for k in want)
 
