@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 from .words import CHUNK, blocks, numbered, numbered_shingles, text_buffer
 
-BLOCK_ROWS, BLOCK_BYTES, KEY = 512, 4 << 20, 16
+BLOCK_ROWS, BLOCK_BYTES, KEY = 1024, 4 << 20, 16
 
 
 def fixed(column: pa.Array, width: int) -> np.ndarray:
