@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import all_of
+from ..functions.predicates import ALWAYS_FALSE, ALWAYS_TRUE, Between, Comparison, all_of, by_selectivity
 
 Name = str | tuple[str, str]
 FUNCTIONS = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
@@ -31,9 +31,21 @@ def filter_rows(df: DataFrame, predicate: Any) -> DataFrame:
     return df.where(_condition(predicate))
 
 
-def scan(df: DataFrame, columns: Sequence[Name] | None = None, predicates: Iterable[Any] = ()) -> DataFrame:
-    """Filter on the table's own columns, then project."""
-    df = df.where(all_of(predicates))
+def conjunction(predicates: Iterable[Any], distinct: dict[str, int] | None = None) -> list[Any]:
+    """What is always true is left out, one that is always false stands for all, and the most selective comes first.
+
+    distinct: distinct counts of columns, where statistics have them. Whatever is no comparison stays behind those that are.
+    """
+    parts = list(predicates)
+    known = [p for p in parts if isinstance(p, Comparison | Between) and p.truth() != ALWAYS_TRUE]
+    if any(p.truth() == ALWAYS_FALSE for p in known):
+        return [F.lit(False)]
+    return [*by_selectivity(known, distinct), *(p for p in parts if not isinstance(p, Comparison | Between))]
+
+
+def scan(df: DataFrame, columns: Sequence[Name] | None = None, predicates: Iterable[Any] = (), distinct: dict[str, int] | None = None) -> DataFrame:
+    """Filter on the table's own columns, the most selective predicate first, then project."""
+    df = df.where(all_of(conjunction(predicates, distinct)))
     return df if columns is None else project(df, columns)
 
 
@@ -79,7 +91,7 @@ def having(df: DataFrame, predicate: Any) -> DataFrame:
 
 
 def money_sum(c: Column | str, scale: int = 2) -> Column:
-    """The sum of amounts with two decimals: exact, whatever the order of additions."""
+    """The sum of amounts that are rounded to scale decimals first: exact, whatever the order of additions."""
     c = F.col(c) if isinstance(c, str) else c
     return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import types
 from ..functions.predicates import Between, all_of, any_of, compare, compare_columns, merge_ranges
 from ..operators import dml
 from ..operators.relational import correlated, equi_join, filter_rows, group_by, having, money_sum, project, scan, sort, tagged_union, theta_join
@@ -101,13 +102,14 @@ def filter_null_false(c):
 @query("SELECT l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_partkey = 100")
 def index_point_lookup(c):
     index = c.index("lineitem", "l_partkey")
-    return index.fetch(index.equal(100), ["l_partkey", "l_suppkey", "l_quantity"])
+    return index.fetch(index.equal(100), ["l_partkey", "l_suppkey", "l_quantity"], lambda k: k == 100)
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey > 23 AND o_custkey <= 43")
 def index_range_lookup(c):
     index = c.index("orders", "o_custkey")
-    return index.fetch(index.within(lambda k: (k > 23) & (k <= 43)), ["o_orderkey", "o_custkey", "o_totalprice"])
+    wanted = lambda k: (k > 23) & (k <= 43)
+    return index.fetch(index.within(wanted), ["o_orderkey", "o_custkey", "o_totalprice"], wanted)
 
 
 @query("SELECT o_custkey FROM orders WHERE o_custkey >= 100 AND o_custkey < 150")
@@ -165,14 +167,8 @@ def merge_join(c):
     return merge(c["nation"].read(), c["customer"].read(), ["n_nationkey"], ["c_nationkey"], ["c_custkey", "n_name"])
 
 
-@query(PARTSUPP + "SELECT l.l_orderkey, ps.ps_availqty FROM lineitem l, partsupp ps WHERE l.l_partkey = ps.ps_partkey AND l.l_suppkey = ps.ps_suppkey AND l.l_orderkey < 500")
-def merge_join_multi_key(c):
-    left = filter_rows(c["lineitem"].read(), compare("l_orderkey", "<", 500))
-    return merge(left, partsupp(c), ["l_partkey", "l_suppkey"], ["ps_partkey", "ps_suppkey"], ["l_orderkey", "ps_availqty"])
-
-
 @query(PARTSUPP + "SELECT l.l_orderkey, ps.ps_availqty FROM lineitem l, partsupp ps WHERE l.l_partkey = ps.ps_partkey AND l.l_suppkey = ps.ps_suppkey")
-def merge_join_multi_key_whole(c):
+def merge_join_multi_key(c):
     return merge(c["lineitem"].read(), partsupp(c), ["l_partkey", "l_suppkey"], ["ps_partkey", "ps_suppkey"], ["l_orderkey", "ps_availqty"])
 
 
@@ -372,15 +368,8 @@ def tagged_input(c):
     return tagged_union(names).select("source_table", "name")
 
 
-@query("SELECT c_custkey, o_orderkey FROM customer, orders WHERE c_custkey = o_custkey AND c_custkey < 20")
-def index_correlated_lookup(c):
-    index = c.index("orders", "o_custkey")
-    outer = scan(c["customer"].read(), ["c_custkey"], [compare("c_custkey", "<", 20)])
-    return index.fetch(index.correlated(outer, "c_custkey"), ["o_orderkey"])
-
-
 @query("SELECT c_custkey, o_orderkey FROM customer, orders WHERE c_custkey = o_custkey")
-def index_correlated_lookup_whole(c):
+def index_correlated_lookup(c):
     index = c.index("orders", "o_custkey")
     return index.fetch(index.correlated(scan(c["customer"].read(), ["c_custkey"]), "c_custkey"), ["o_orderkey"])
 
@@ -396,4 +385,65 @@ def dialect_select(c):
     return out.withColumn("qty", F.round("qty", 2))
 
 
+@query(
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%-m-%-d %-H:%M:%S.%g') AS moment, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS parsed, "
+    "rpad(o_orderpriority, 20, ' ') AS fixed, trim('  ' || o_orderstatus || ' ') AS trimmed, CAST(CAST(o_custkey AS VARCHAR) AS INT) AS cust, CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE) AS price FROM orders"
+)
+def text_codecs(c):
+    """Values as text and back."""
+    day, price = types.to_text(F.col("o_orderdate"), "DATE"), types.to_text(F.col("o_totalprice"), "DOUBLE")
+    return c["orders"].read().select(
+        "o_orderkey", day.alias("day"), types.to_text(F.col("o_orderdate"), "TIMESTAMP").alias("moment"), F.unix_date(types.from_text(day, "DATE")).cast("long").alias("parsed"), types.char(F.col("o_orderpriority"), 20).alias("fixed"),
+        types.varchar(F.concat(F.lit("  "), "o_orderstatus", F.lit(" ")), 8).alias("trimmed"), types.from_text(types.to_text(F.col("o_custkey"), "INT"), "INT").alias("cust"), types.from_text(price, "DOUBLE").alias("price"),
+    )
+
+
+@query(
+    "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) - 1 AS m, day(o_orderdate) AS d, CAST(o_orderkey % 24 AS INT) AS hour, CAST(o_orderkey % 60 AS INT) AS minute, CAST(o_custkey % 60 AS INT) AS second, "
+    "CAST((o_custkey % 12) * 3600000 AS INT) AS offset_ms, (o_orderkey % 24) * 3600000 + (o_orderkey % 60) * 60000 + (o_custkey % 60) * 1000 - (o_custkey % 12) * 3600000 AS instant FROM orders"
+)
+def time_accessors(c):
+    """Parts of dates and of times with offsets, the latter from text."""
+    order, cust = F.col("o_orderkey"), F.col("o_custkey")
+    time = types.from_text(F.format_string("%d:%02d:%02d (UTC +%d)", order % 24, order % 60, cust % 60, cust % 12), "TIME")
+    rows = c["orders"].read().select("o_orderkey", "o_orderdate", time.alias("t"))
+    date, t = F.col("o_orderdate"), F.col("t")
+    parts = [types.date_part(date, part).alias(part[0]) for part in ("year", "month", "day")]
+    parts += [types.time_part(t, part).alias(part) for part in ("hour", "minute", "second")]
+    return rows.select("o_orderkey", *parts, types.time_part(t, "offset").alias("offset_ms"), types.time_instant(t).alias("instant"))
+
+
+@query("SELECT l_suppkey, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_suppkey")
+def bulk_map_reduce(c):
+    """Own map, combine and reduce functions over batches."""
+
+    def mapped(parts):
+        for p in parts:
+            yield p[["l_suppkey"]].assign(n=1, lines=p["l_linenumber"].astype("int64"))
+
+    def added(rows):
+        return rows.groupby("l_suppkey", as_index=False).sum()
+
+    table = bulk.TableInput(c["lineitem"].read().select("l_suppkey", "l_linenumber"))
+    schema = "l_suppkey long, n long, lines long"
+    return bulk.MapReduce(table, mapped, schema, ["l_suppkey"], added, schema, added).frame()
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS op, (SELECT COUNT(*) FROM part WHERE p_size {inverse} 10) AS inverse, (SELECT COUNT(*) FROM part WHERE 10 {mirror} p_size) AS mirror"
+        for name, inverse, mirror in [("eq", "<>", "="), ("ne", "=", "<>"), ("lt", ">=", ">"), ("le", ">", ">="), ("gt", "<=", "<"), ("ge", "<", "<=")]
+    )
+)
+def predicate_algebra(c):
+    """Each comparison negated, and with its sides exchanged."""
+    ops = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+    part, out = c["part"].read(), None
+    for name, op in ops.items():
+        p = compare("p_size", op, 10)
+        row = part.agg(F.count(F.when(p.inverted().column(), 1)).alias("inverse"), F.count(F.when(p.mirrored().column(), 1)).alias("mirror")).select(F.lit(name).alias("op"), "inverse", "mirror")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 __all__ = ["catalog", "oracle_sql", "partsupp", "queries"]

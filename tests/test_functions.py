@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import types
 from basalt.functions.predicates import ALWAYS_FALSE, ALWAYS_TRUE, OPS, UNKNOWN, Between, Comparison, Ref, all_of, any_of, by_selectivity, compare, compare_columns, merge_ranges
-from basalt.operators.relational import group_by, merge_join, scan, sort, tagged_union, theta_join
+from basalt.operators.relational import conjunction, group_by, merge_join, scan, sort, tagged_union, theta_join
 
 
 def test_random_predicates_against_a_model(spark):
@@ -40,6 +40,15 @@ def test_ranges():
         compare("a", "!=", 1)
 
 
+def test_conjunctions(spark):
+    eq, less, never, always = compare("a", "=", 1), compare("a", "<", 5), Comparison(2, "<", 1), Comparison(1, "<", 2)
+    assert conjunction([less, always, F.col("a") > 0, eq], {"a": 100})[:2] == [eq, less] and len(conjunction([less, always, F.col("a") > 0, eq])) == 3
+    df = spark.range(10).toDF("a")
+    assert scan(df, None, [less, never]).count() == 0 and scan(df, None, [less, always]).count() == 5 and scan(df).count() == 10
+    text = scan(df, None, [less, eq], {"a": 100})._jdf.queryExecution().analyzed().toString()
+    assert text.index("= cast(1") < text.index("< cast(5") if "cast(1" in text else text.index("= 1") < text.index("< 5")
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 

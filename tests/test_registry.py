@@ -4,6 +4,7 @@ import os
 import duckdb
 import pytest
 
+from basalt.operators import relational
 from basalt.plans import registry
 
 
@@ -58,13 +59,23 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_correlated_lookup_of_whole_tables(spark, sf):
-    orders, customers = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "customer"))
+def test_lookups_and_merge_joins_of_whole_tables(spark, sf):
+    orders, customers, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "customer", "lineitem"))
     want = orders.join(customers, orders.o_custkey == customers.c_custkey).count()
-    assert registry.queries()["index_correlated_lookup_whole"](spark, sf).count() == want > registry.queries()["index_correlated_lookup"](spark, sf).count()
+    assert registry.queries()["index_correlated_lookup"](spark, sf).count() == want
+    got = registry.queries()["merge_join_multi_key"](spark, sf)
+    assert got.count() == items.where("l_partkey is not null and l_suppkey is not null").count() and "SortMergeJoin" in plan(got)
 
 
-def test_merge_join_of_whole_tables(spark, sf):
-    n = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey is not null and l_suppkey is not null").count()
-    got = registry.queries()["merge_join_multi_key_whole"](spark, sf)
-    assert got.count() == n > registry.queries()["merge_join_multi_key"](spark, sf).count() and "SortMergeJoin" in plan(got)
+def sorts(df):
+    return df._jdf.queryExecution().sparkPlan().toString().count("Sort ["), df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+
+
+def test_sort_is_left_out_where_rows_are_sorted(spark, sf):
+    left, right = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem"))
+    joined = relational.merge_join(left, right, ["o_orderkey"], ["l_orderkey"], ["o_orderkey", "l_quantity"])
+    once = relational.sort(joined, ["o_orderkey"], within_partitions=True)
+    assert sorts(joined)[1] == sorts(once)[1] == 2
+    assert sorts(relational.sort(joined, ["l_quantity"], within_partitions=True))[1] == 3
+    again = relational.sort(relational.sort(left, ["o_custkey"]), ["o_custkey"])
+    assert sorts(again)[1] == 1

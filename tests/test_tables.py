@@ -9,7 +9,8 @@ from basalt.operators import dml
 from basalt.plans import bulk
 from basalt.plans.console import print_result, repl
 from basalt.plans.dialect import Engine, Literal, ParseError, Select, fold, parse
-from basalt.sources.catalog import Catalog
+from basalt.sources import storage
+from basalt.sources.catalog import Catalog, DuplicateKey
 
 
 @pytest.fixture
@@ -39,6 +40,125 @@ def test_insert_delete_update(spark, catalog):
     assert len(t.snapshots()) == 1
 
 
+def test_statements_touch_only_the_files_they_must(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        calls.add(1)
+        return x
+
+    t = Catalog(spark).create("many", spark.range(100).select("id", (F.col("id") * 2).alias("v")).repartitionByRange(5, "id"))
+    first = t.manifest()["files"]
+    assert len(first) == 5 and sum(first.values()) == 100
+    assert dml.insert(t, spark.range(100, 130, 1, 3).select(seen("id"), "id")).first()["affected"] == 30 and calls.value == 30
+    second = t.manifest()["files"]
+    assert first.items() <= second.items() and sum(second.values()) == 130
+    assert dml.delete(t, F.col("id") == 7).first()["affected"] == 1
+    third = t.manifest()["files"]
+    assert len(second.keys() - third.keys()) == 1 and len(third.keys() - second.keys()) == 1 and sum(third.values()) == 129
+    assert dml.update(t, {"v": 0}, F.col("id") >= 100).first()["affected"] == 30
+    fourth = t.manifest()["files"]
+    assert all(n in fourth for n in third if n not in second or n in first) and t.read().where("v = 0").count() == 31
+    assert dml.delete(t, F.col("id") < 20).first()["affected"] == 19
+    versions = t.snapshots()
+    assert dml.delete(t, F.col("id") == -1).first()["affected"] == dml.update(t, {"v": 1}, F.col("id") == -1).first()["affected"] == 0
+    assert t.snapshots() == versions
+    t.vacuum()
+    assert len(t.snapshots()) == 1 and t.read().count() == 110 and sorted(r.id for r in t.read().collect()) == [*range(20, 130)]
+
+
+def test_fetch_reads_only_named_files(spark):
+    c = Catalog(spark)
+    c.create("many", spark.range(1000).select("id", (F.col("id") * 2).alias("v")).repartitionByRange(5, "id"))
+    index = c.index("many", "id")
+    got = index.fetch(index.equal(777), ["id", "v"], lambda k: k == 777)
+    assert values(got) == [(777, 1554)]
+    assert len(files_read(spark, c["many"].read())) == 1 and files_read(spark, c["many"].read()) == [5]
+    assert 1 in files_read(spark, got) and 5 not in files_read(spark, got)
+    assert index.fetch(index.equal(-5), ["v"]).collect() == []
+    assert index.fetch(index.within(lambda k: k < 3), ["v"]).count() == 3
+
+
+def files_read(spark, df):
+    """numFiles of the scans of data files."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if name == "FileSourceScanExec":
+            found.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_index_follows_the_table(spark, monkeypatch):
+    c = Catalog(spark)
+    t = c.create("t", spark.range(40).select("id", (F.col("id") % 7).alias("v")).repartitionByRange(4, "id"))
+    index = c.index("t", "id")
+    dml.insert(t, spark.range(100, 110).select("id", "id"))
+    assert c.index("t", "id") is index and len(index.runs) == 2 and index.equal(105).count() == 1
+    dml.delete(t, F.col("id") < 3)
+    assert c.index("t", "id").rows().count() == 47 and index.equal(2).isEmpty() and values(index.fetch(index.equal(3), ["v"])) == [(3,)]
+    monkeypatch.setattr("basalt.sources.catalog.MOST_RUNS", 2)
+    dml.insert(t, spark.range(200, 201).select("id", "id"))
+    assert c.index("t", "id").rows().count() == 48 and len(index.runs) == 1 and not index.gone
+
+
+def test_unique_keys_are_refused(spark):
+    c = Catalog(spark)
+    t = c.create("t", spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, name string"))
+    c.index("t", "id", unique=True)
+    versions = t.snapshots()
+    for rows in ([(2, "x")], [(5, "x"), (5, "y")]):
+        with pytest.raises(DuplicateKey, match="twice"):
+            dml.insert(t, spark.createDataFrame(rows, "id int, name string"))
+    with pytest.raises(DuplicateKey):
+        dml.update(t, {"id": 1}, F.col("id") == 2)
+    assert t.snapshots() == versions and t.read().count() == 3
+    assert dml.insert(t, spark.createDataFrame([(5, "x"), (None, "y")], "id int, name string")).first()["affected"] == 2
+    dml.delete(t, F.col("id") == 2)
+    assert dml.insert(t, spark.createDataFrame([(2, "again")], "id int, name string")).first()["affected"] == 1
+    assert dml.update(t, {"id": F.col("id") + 10}, F.col("id").isNotNull()).first()["affected"] == 3
+    with pytest.raises(DuplicateKey):
+        Engine(spark, c).sql('INSERT INTO t VALUES (15, "x")')
+    c.create("twice", spark.createDataFrame([(1,), (1,)], "id int"))
+    with pytest.raises(DuplicateKey, match="duplicate"):
+        c.index("twice", "id", unique=True)
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    class Other:
+        """A session of a cluster."""
+
+        def __init__(self, given):
+            self.given, outer = given, spark
+            self.sparkContext = type("C", (), {"master": "spark://x:7077", "applicationId": "other", "getConf": lambda s: {}})()
+            self.conf = type("F", (), {"get": lambda s, k, d=None: d})()
+            option = type("O", (), {"isDefined": lambda s: given is not None, "get": lambda s: given})()
+            self._jsc = type("J", (), {"sc": lambda s: type("S", (), {"getCheckpointDir": lambda s: option})()})()
+            self._jvm = outer._jvm
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_dir(Other(None))
+    assert storage.shared_dir(Other("hdfs://n/x/")) == "hdfs://n/x"
+    path = storage.scratch(spark, "test")
+    spark.range(3).write.parquet(path)
+    monkeypatch.setattr(storage, "_made", {spark.sparkContext.applicationId: [path]})
+    storage.sweep(spark)
+    assert storage.names_in(spark, path) == []
+    storage.write_text(spark, f"file://{tmp_path}/a.json", "é")
+    assert storage.read_text(spark, f"file://{tmp_path}/a.json") == "é"
+    with pytest.raises(FileExistsError):
+        storage.write_text(spark, f"file://{tmp_path}/a.json", "b")
+
+
 def test_index_fetch_and_refresh(spark, catalog):
     index = catalog.index("t", "id")
     assert values(index.fetch(index.equal(3), ["id", "v"])) == [(3, 30), (3, 31)]
@@ -47,7 +167,7 @@ def test_index_fetch_and_refresh(spark, catalog):
     assert values(index.duplicates()) == [(3, 2)]
     assert catalog.index("t", "v").rows().count() == 3  # nulls have no entry
     with pytest.raises(ValueError, match="duplicate"):
-        catalog.index("t", "name") and type(index).build(catalog["t"], "id", unique=True)
+        type(index).build(catalog["t"], "id", unique=True)
     assert dml.delete_rids(catalog["t"], index.equal(3)).first()["affected"] == 2
     assert catalog.index("t", "id").equal(3).isEmpty()
 
@@ -63,6 +183,7 @@ def test_statistics_and_registry(spark, catalog, tmp_path):
 
 def test_dialect_statements(spark, catalog):
     e = Engine(spark, catalog)
+    spark.range(3).createOrReplaceTempView("t")  # the session's own, which the engine leaves alone
     assert values(e.sql('SELECT a.id AS id, COUNT(*) AS n FROM t a WHERE a.v >= 10 GROUP BY a.id HAVING n > 1 ORDER BY id DESC')) == [(3, 2)]
     assert values(e.sql('select name as s from t where name = "q\\"x"')) == [('q"x',)]
     assert values(e.sql("SELECT x.m AS m FROM (SELECT MAX(v) AS m, id AS id FROM t GROUP BY id) x, t b WHERE x.id = b.id AND b.v < 11")) == [(10,)]
@@ -72,7 +193,9 @@ def test_dialect_statements(spark, catalog):
     assert e.sql("UPDATE t SET v = v * 2 WHERE t.id >= 7 AND v < 4").first()["affected"] == 2
     assert values(e.sql("SELECT id AS id, v AS v FROM t WHERE id > 6")) == [(101, 10), (7, -4), (8, 6)]
     assert e.sql("DELETE FROM t x WHERE x.id > 6").first()["affected"] == 3
-    assert e.sql("SELECT * FROM t").count() == 4
+    assert e.sql("SELECT * FROM t").count() == 4 and spark.table("t").count() == 3
+    spark.catalog.dropTempView("t")
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("basalt_")]
 
 
 @pytest.mark.parametrize(
