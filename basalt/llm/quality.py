@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from .common import Workspace, ship, table
-from .words import blocks, shingles
+from .words import blocks, shingles, span_hashes
 
 TRAIN_ROWS, FOLDS, THRESHOLD = 30_000, 5, 0.3
 
@@ -34,31 +34,55 @@ _KINDS = len(_CLASSES) + 3
 FEATURES = [*(f"share_{k}" for k in range(_KINDS)), "log_bytes", "log_words", "word_bytes", "word_bytes_sd", "short_words", "long_words", "distinct_words", "top_word", "distinct_shingles", "log_lines", "line_bytes", "distinct_lines", "short_lines", "bytes_per_word"]
 
 
+def _repeats(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many different values each row has, and how often its most frequent one occurs there. Values are hashes, of which the row's bits are spared."""
+    most, bits = np.zeros(rows, dtype=np.int64), np.uint64(rows.bit_length())
+    if not len(values):
+        return most, most
+    key = np.sort((row.astype(np.uint64) << (np.uint64(64) - bits)) | (values >> bits))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    own = (key[first] >> (np.uint64(64) - bits)).astype(np.int64)
+    there = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    most[own[there]] = np.maximum.reduceat(np.diff(np.append(first, len(key))), there)
+    return np.bincount(own, minlength=rows), most
+
+
 def statistics(column: pa.Array) -> np.ndarray:
-    """A row of FEATURES for each text; an empty or null text has zeros."""
+    """A row of FEATURES for each text; an empty or null text has zeros. Counted block by block, all rows of a block at once."""
     out = np.zeros((len(column), len(FEATURES)), dtype=np.float32)
     for b in blocks(column):
-        shingle, first = shingles(b.hashes, b.at, 5)
-        kinds = _CLASS[b.buf]
+        rows, some = b.hi - b.lo, np.diff(b.offsets) > 0
+        n = np.maximum(np.diff(b.offsets), 1).astype(np.float64)
+        kinds = _CLASS[b.buf] + np.repeat(np.arange(rows) * _KINDS, np.diff(b.offsets))
+        shares = np.bincount(kinds, minlength=rows * _KINDS).reshape(rows, _KINDS) / n[:, None]
+
+        words = np.diff(b.at)
+        many, row = np.maximum(words, 1), np.repeat(np.arange(rows), words)
         size = (b.ends - b.starts).astype(np.float64)
-        for r in range(b.hi - b.lo):
-            lo, hi = int(b.offsets[r]), int(b.offsets[r + 1])
-            if lo == hi:
-                continue
-            n = hi - lo
-            words, sizes = b.hashes[b.at[r] : b.at[r + 1]], size[b.at[r] : b.at[r + 1]]
-            lines = b.buf[lo:hi].tobytes().split(b"\n")
-            line = np.fromiter(map(len, lines), np.int64, len(lines))
-            row = [*(np.bincount(kinds[lo:hi], minlength=_KINDS) / n), np.log1p(n), np.log1p(len(words))]
-            if len(words):
-                _, count = np.unique(words, return_counts=True)
-                grams = shingle[first[r] : first[r + 1]]
-                grams = np.sort(grams)
-                row += [sizes.mean(), sizes.std(), (sizes <= 3).mean(), (sizes >= 12).mean(), len(count) / len(words), count.max() / len(words), (1 + np.count_nonzero(grams[1:] != grams[:-1])) / len(grams)]
-            else:
-                row += [0.0] * 7
-            row += [np.log1p(len(lines)), line.mean(), len(set(lines)) / len(lines), (line < 20).mean(), n / (len(words) + 1)]
-            out[b.lo + r] = row
+
+        def mean(x: np.ndarray, row: np.ndarray = row, many: np.ndarray = many, rows: int = rows) -> np.ndarray:
+            return np.bincount(row, x, rows) / many
+
+        average = mean(size)
+        spread = np.sqrt(mean((size - average[row]) ** 2))
+        distinct, most = _repeats(b.hashes, row, rows)
+        shingle, first = shingles(b.hashes, b.at, 5)
+        grams, _ = _repeats(shingle, np.repeat(np.arange(rows), np.diff(first)), rows)
+
+        feeds = np.flatnonzero(b.buf == 10)
+        start = np.sort(np.concatenate([b.offsets[:-1], feeds + 1]))  # a row begins with a line, even where the one before it ends in a feed
+        lines = np.diff(np.searchsorted(feeds, b.offsets)) + 1
+        row = np.repeat(np.arange(rows), lines)
+        line = np.diff(np.append(start, len(b.buf)))
+        ended = np.ones(len(line), dtype=bool)
+        ended[np.cumsum(lines) - 1] = False
+        line = line - ended
+        different, _ = _repeats(span_hashes(b.buf, start, start + line), row, rows)
+        columns = [
+            np.log1p(n), np.log1p(words), average, spread, mean(size <= 3), mean(size >= 12), distinct / many, most / many, grams / np.maximum(np.diff(first), 1),
+            np.log1p(lines), np.bincount(row, line, rows) / lines, different / lines, np.bincount(row, line < 20, rows) / lines, n / (words + 1),
+        ]
+        out[b.lo : b.hi] = np.where(some[:, None], np.column_stack([shares, *columns]), 0)
     return out
 
 

@@ -366,6 +366,25 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert none.report(docs).where("contaminated or n_items > 0").count() == 0
 
 
+def test_statistics_text_by_text(docs):
+    some = [*texts(docs).values(), "a\n", "\n", "x" * 70 + "\n" + "x" * 70, None]
+    for got, text in zip(quality.statistics(pa.array(some)), some, strict=True):
+        raw, w = (text or "").encode(), words(text or "")
+        row = dict(zip(quality.FEATURES, got.tolist(), strict=True))
+        if not raw:
+            assert not got.any()
+            continue
+        sizes, lines_ = [len(x.encode()) for x in w], raw.split(b"\n")
+        grams = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+        want = {
+            "share_0": sum(97 <= x < 123 for x in raw) / len(raw), "share_4": raw.count(10) / len(raw), "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(len(w)),
+            "word_bytes": np.mean(sizes or [0]), "word_bytes_sd": np.std(sizes or [0]), "short_words": np.mean([x <= 3 for x in sizes] or [0]), "long_words": np.mean([x >= 12 for x in sizes] or [0]),
+            "distinct_words": len(set(w)) / max(len(w), 1), "top_word": max(Counter(w).values(), default=0) / max(len(w), 1), "distinct_shingles": len(set(grams)) / max(len(grams), 1), "log_lines": math.log1p(len(lines_)),
+            "line_bytes": np.mean([len(x) for x in lines_]), "distinct_lines": len(set(lines_)) / len(lines_), "short_lines": np.mean([len(x) < 20 for x in lines_]), "bytes_per_word": len(raw) / (len(w) + 1),
+        }
+        assert all(abs(row[k] - v) <= 1e-5 * max(1, abs(v)) for k, v in want.items()), (text[:50], row, want)
+
+
 def test_trees_in_arrays():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 6)).astype(np.float32)
