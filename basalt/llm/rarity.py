@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import blocks
+from .words import NO_WORD, blocks
 
 BUCKETS, CHUNK_BUCKETS = 1 << 20, 1 << 12
 
@@ -29,7 +29,7 @@ def bucket_counts(texts: DataFrame, seed: int = 0) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for b in blocks(batch.column(0), seed=seed):
+            for b in blocks(batch.column(0), seed=seed, cut=NO_WORD):
                 n += np.bincount(bucket(b.hashes), minlength=BUCKETS)
         parts = n.astype("<u4" if n.max() < 1 << 32 else "<u8").reshape(-1, CHUNK_BUCKETS)
         some = np.flatnonzero(parts.any(axis=1))

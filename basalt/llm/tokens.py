@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .words import CHUNK, LOWER, numbered, runs, span_hashes, text_buffer
+from .words import CHUNK, LOWER, cuts, numbered, runs, span_hashes, text_buffer
 
 MAGIC, HEAD, SAMPLE = b"BSLTEF01", struct.Struct("<8Q"), 256
 SEGMENT_IDS, MEMO, END_ID = 2_000_000, 500_000, 1
@@ -185,7 +185,10 @@ class Encoder:
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, "right")) - 1)
             part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            if self.cuts:
+            if self.cuts and len(part) > chunk:  # a longer text goes in parts that end behind blanks
+                ids = np.concatenate([self._block(part[a:b], np.array([0, b - a]))[0] for a, b in cuts(part, _KIND == _BLANK, chunk)])
+                yield lo, ids, np.array([len(ids)])
+            elif self.cuts:
                 yield lo, *self._block(part, off)
             else:
                 texts = [part[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]

@@ -122,7 +122,10 @@ def numbered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.n
 
 @dataclass
 class Block:
-    """Rows lo to hi of a column: their bytes, these with A-Z lower-cased, and all their words. at: where each row's words begin."""
+    """Rows lo to hi of a column: their bytes, these with A-Z lower-cased, and all their words. at: where each row's words begin.
+
+    A block may be a part of one row: skip bytes of it stand before, and rest after.
+    """
 
     lo: int
     hi: int
@@ -133,18 +136,47 @@ class Block:
     ends: np.ndarray
     hashes: np.ndarray
     at: np.ndarray
+    skip: int = 0
+    rest: int = 0
+
+
+LINE_FEED = np.arange(256) == 10
+NO_WORD = ~_IS_WORD
+
+
+def cuts(buf: np.ndarray, after: np.ndarray, chunk: int) -> Iterator[tuple[int, int]]:
+    """From and to of parts of about chunk bytes, or longer where none of the bytes in after (a 256-entry set) comes: each ends behind one."""
+    lo = 0
+    while lo < len(buf):
+        hi = lo + chunk
+        if hi < len(buf):
+            found = np.flatnonzero(after[buf[lo:hi]])
+            while not len(found) and hi < len(buf):
+                lo_, hi = hi, hi + chunk
+                found = np.flatnonzero(after[buf[lo_:hi]])[:1] + lo_ - lo
+            hi = lo + int(found[-1]) + 1 if len(found) else len(buf)
+        yield lo, min(hi, len(buf))
+        lo = hi
 
 
-def blocks(column: pa.Array, chunk: int = CHUNK, seed: int = 0) -> Iterator[Block]:
-    """The column in blocks of about chunk bytes, of whole rows. seed is that of the words' hashes."""
+def blocks(column: pa.Array, chunk: int = CHUNK, seed: int = 0, cut: np.ndarray | None = None) -> Iterator[Block]:
+    """The column in blocks of about chunk bytes, of whole rows. seed is that of the words' hashes.
+
+    With cut, a 256-entry set of bytes that are in no word, a longer row comes in parts that end behind such a byte.
+    """
     buf, offsets = text_buffer(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, "right")) - 1)
-        part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        starts, ends = runs(_IS_WORD[part], off)
-        low = LOWER[part]
-        yield Block(lo, hi, part, low, off, starts, ends, span_hashes(low, starts, ends, seed), np.searchsorted(starts, off))
+        whole, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        parts = [(0, len(whole))] if cut is None or len(whole) <= chunk else cuts(whole, cut, chunk)
+        for a, b in parts:
+            part = whole[a:b]
+            if b - a < len(whole):
+                off = np.array([0, b - a])
+            starts, ends = runs(_IS_WORD[part], off)
+            low = LOWER[part]
+            yield Block(lo, hi, part, low, off, starts, ends, span_hashes(low, starts, ends, seed), np.searchsorted(starts, off), a, len(whole) - b)
         lo = hi
 
 
