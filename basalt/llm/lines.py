@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, join_on, table
 from .links import BLOCK_ROWS, KEY, components, dealt, grouped, verify
 from .rarity import BUCKETS, bucket, bucket_counts
-from .words import Block, blocks, mix
+from .words import LINE_FEED, Block, blocks, mix
 
 THRESHOLD, HOT_ROWS, LARGE_ROWS, PAIRS_AT_ONCE, SEEN = 0.8, 4096, 1024, 1 << 18, 1 << 20
 #: A posting has a word's hash, a line's 64-bit id, size << 32 | position, and the parity map; a line's row its document's
@@ -78,6 +78,16 @@ class Sets:
             self.lo = self.hi = np.zeros(0, np.int64)
 
 
+def _sets(column: pa.Array, rank: np.ndarray) -> Iterator[tuple[Block, Sets]]:
+    """Blocks and their lines; a long text comes in parts of whole lines, which are numbered through."""
+    before = 0
+    for b in blocks(column, cut=LINE_FEED):
+        s, before = Sets(b, rank), before if b.skip else 0
+        s.number, s.n_lines = s.number + before, s.n_lines + before
+        before += int(np.count_nonzero(b.buf == 10))
+        yield b, s
+
+
 def prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
@@ -94,11 +104,11 @@ def _posted(rows: DataFrame, rank, threshold: float) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             uid, doc, text_hash = (batch.column(k).to_numpy() for k in (0, 1, 3))
-            for b in blocks(batch.column(2)):
-                s = Sets(b, rank.value)
+            for b, s in _sets(batch.column(2), rank.value):
                 n = np.diff(s.at)
                 own, ids = uid[b.lo : b.hi], doc[b.lo : b.hi]
-                yield _batch([own, text_hash[b.lo : b.hi], np.full(len(own), DOC), s.n_lines, ids])
+                if not b.rest:
+                    yield _batch([own, text_hash[b.lo : b.hi], np.full(len(own), DOC), s.n_lines, ids])
                 if not len(n):
                     continue
                 yield _batch([own[s.row], s.lo, -1 - s.number, s.hi, ids[s.row]])
@@ -269,9 +279,8 @@ def _items(texts: DataFrame, rank) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, want = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for b in blocks(batch.column(1)):
+            for b, s in _sets(batch.column(1), rank.value):
                 node, lo, root, text, doc, line = [], [], [], [], [], []
-                s = Sets(b, rank.value)
                 where = {(r, k): i for i, (r, k) in enumerate(zip(s.row.tolist(), s.number.tolist(), strict=True))}
                 for r in range(b.hi - b.lo):
                     for w in want[b.lo + r]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, join_on, table
 from .links import BLOCK_ROWS, KEY, across, components, dealt, fixed, grouped, spanning, verify
-from .words import blocks, shingles
+from .words import NO_WORD, blocks, shingles
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, STEP, MISS = 96, 16, 1e-5
@@ -45,6 +45,27 @@ def minhash(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def _signatures(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, those from it on that have words, their minima). A long text comes in parts, each with the last words of the one before."""
+    held, least = np.zeros(0, np.uint64), None
+    for b in blocks(column, cut=NO_WORD):
+        if not b.skip and not b.rest:
+            values, at = shingles(b.hashes, b.at, WORDS)
+            some = np.flatnonzero(np.diff(at))
+            if len(some):
+                yield b.lo, some, minhash(values, at[:-1][some])
+            continue
+        if not b.skip:
+            held, least = b.hashes[:0], None
+        words = np.concatenate([held, b.hashes])
+        if len(words) >= WORDS or not b.rest and least is None and len(words):
+            mins = minhash(shingles(words, np.array([0, len(words)]), WORDS)[0], np.array([0]))
+            least = mins if least is None else np.minimum(least, mins)
+        held = words[-(WORDS - 1) :]
+        if not b.rest and least is not None:
+            yield b.lo, np.array([0]), least
+
+
 def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """The fewest matches among n values with which P(similarity >= threshold) is at least tolerance.
 
@@ -83,16 +104,11 @@ def _signed(rows: DataFrame, per_band: int) -> DataFrame:
         for batch in batches:
             keys: list[bytes | None] = [None] * len(batch)
             sigs = keys.copy()
-            for b in blocks(batch.column(2)):
-                values, at = shingles(b.hashes, b.at, WORDS)
-                some = np.flatnonzero(np.diff(at))
-                if not len(some):
-                    continue
-                mins = minhash(values, at[:-1][some])
+            for lo, some, mins in _signatures(batch.column(2)):
                 key, sig = mins.astype("<u4").tobytes(), mins.astype("<u2").tobytes()
                 for i, r in enumerate(some.tolist()):
-                    keys[b.lo + r] = key[i * 4 * HASHES : (i + 1) * 4 * HASHES]
-                    sigs[b.lo + r] = sig[i * 2 * HASHES : (i + 1) * 2 * HASHES]
+                    keys[lo + r] = key[i * 4 * HASHES : (i + 1) * 4 * HASHES]
+                    sigs[lo + r] = sig[i * 2 * HASHES : (i + 1) * 2 * HASHES]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=schema.names)
 
     width = 4 * per_band
