@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from .common import Workspace, ship, table
-from .words import blocks, shingles, span_hashes
+from .words import CHUNK, blocks, shingles, span_hashes
 
 TRAIN_ROWS, FOLDS, THRESHOLD = 30_000, 5, 0.3
 
@@ -53,8 +53,12 @@ def statistics(column: pa.Array) -> np.ndarray:
     for b in blocks(column):
         rows, some = b.hi - b.lo, np.diff(b.offsets) > 0
         n = np.maximum(np.diff(b.offsets), 1).astype(np.float64)
-        kinds = _CLASS[b.buf] + np.repeat(np.arange(rows) * _KINDS, np.diff(b.offsets))
-        shares = np.bincount(kinds, minlength=rows * _KINDS).reshape(rows, _KINDS) / n[:, None]
+        shares = np.zeros(rows * _KINDS)
+        for lo in range(0, len(b.buf), CHUNK):  # more than one step only for a longer text
+            hi = min(lo + CHUNK, len(b.buf))
+            each = np.diff(b.offsets.clip(lo, hi))
+            shares += np.bincount(_CLASS[b.buf[lo:hi]] + np.repeat(np.arange(rows) * _KINDS, each), minlength=rows * _KINDS)
+        shares = shares.reshape(rows, _KINDS) / n[:, None]
 
         words = np.diff(b.at)
         many, row = np.maximum(words, 1), np.repeat(np.arange(rows), words)

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from basalt.llm import decontaminate, lines, mixing, near, quality, tokens, urls, warc
 from basalt.llm.common import Workspace
-from basalt.llm.words import blocks, numbered, numbered_shingles, shingles
+from basalt.llm.words import LINE_FEED, NO_WORD, blocks, numbered, numbered_shingles, shingles
 
 from llm_helpers import contamination, fill, texts, words
 
@@ -335,6 +335,49 @@ def test_bytes_decide_where_hashes_clash(monkeypatch):
         decontaminate.Index(["1"], ["ab cd"], 10, np.zeros(1 << 20, np.int64), 0)
 
 
+@given(st.text(alphabet="ab \n", max_size=60), st.integers(1, 9))
+@settings(max_examples=80, deadline=None)
+def test_texts_in_parts(text, chunk):
+    column = pa.array(["x", text, "y z"])
+    for after in (LINE_FEED, NO_WORD):
+        parts = list(blocks(column, chunk=chunk, cut=after))
+        assert b"".join(b.buf.tobytes() for b in parts) == f"x{text}y z".encode()
+        got = [h for b in parts for h in b.hashes.tolist()]
+        assert got == [h for b in blocks(column) for h in b.hashes.tolist()]
+        assert all(b.rest == 0 or after[b.buf[-1]] for b in parts)
+
+
+@given(st.lists(st.sampled_from(["aa", "b", "cc", "\n", "d e f", "'s", "é", ""]), max_size=40))
+@settings(max_examples=40, deadline=None)
+def test_parts_change_nothing(some):
+    text = " ".join(some)
+    column, rank = pa.array(["aa b", text, "cc"]), (np.arange(1 << 20) % 4096).astype(np.uint16)
+
+    def all_of():
+        lines_ = [(b.lo + r, n, lo, hi) for b, s in lines._sets(column, rank) for r, n, lo, hi in zip(s.row.tolist(), s.number.tolist(), s.lo.tolist(), s.hi.tolist(), strict=True)]
+        ends = [(b.lo + k, n) for b, s in lines._sets(column, rank) if not b.rest for k, n in enumerate(s.n_lines.tolist())]
+        signed = [(lo + r, m.tolist()) for lo, rows, mins in near._signatures(column) for r, m in zip(rows.tolist(), mins, strict=True)]
+        return lines_, ends, signed, quality.statistics(column).tolist()
+
+    whole = all_of()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("basalt.llm.words.blocks.__defaults__", (5, 0, None))
+        m.setattr("basalt.llm.quality.CHUNK", 5)
+        assert all_of() == whole
+    encoder = tokens.Encoder(open(TOKENIZER, encoding="utf-8").read()) if not _encoder else _encoder[0]
+    _encoder[:] = [encoder]
+    got = [(ids.tolist(), ends.tolist()) for _, ids, ends in encoder.encode(column, 5)]
+    assert [x for ids, _ in got for x in ids] == [x for t in column.to_pylist() for x in Tokenizer.from_file(TOKENIZER).encode(t, add_special_tokens=False).ids]
+
+
+_encoder = []
+
+
+def test_lines_beyond_2_20(spark):
+    df = spark.createDataFrame([(1, "x y z" + "\n" * (1 << 20) + "x y z")], "doc_id long, text string")
+    assert [tuple(r) for r in lines.matches(df).collect()] == [(1, (1 << 20) + 1, 1, 0, [1 << 20])]
+
+
 def test_long_texts_and_words(spark):
     rng = random.Random(8)
     word = "".join(rng.choice("abcdefgh") for _ in range(1 << 20))
