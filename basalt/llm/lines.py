@@ -368,12 +368,23 @@ def _halves(counts: DataFrame) -> DataFrame:
 
 
 def strip(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without the removed lines of found = matches(docs). Ids must be unique."""
+    """The documents without the removed lines of found = matches(docs). Ids must be unique; rows without id stay as they are."""
     gone = found.where("n_removed > 0").select(F.col("doc_id").alias("gone_id"), "removed_lines")
     rows = docs.select(F.struct("*").alias("row")).join(gone, F.col(f"row.{id_col}") == F.col("gone_id"), "left")
-    left = F.filter(F.split(F.col(f"row.{text_col}"), "\n", -1), lambda _, k: ~F.array_contains("removed_lines", k.cast("long")))
-    text = F.when(F.col("removed_lines").isNull(), F.col(f"row.{text_col}")).otherwise(F.array_join(left, "\n"))
-    return rows.select(*(text.alias(c) if c == text_col else F.col(f"row.{c}") for c in docs.columns))
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[1:]
+            texts = columns[at].to_pylist()
+            for k, numbers in enumerate(batch.column(0).to_pylist()):
+                if numbers:
+                    left, drop = texts[k].split("\n"), set(numbers)
+                    texts[k] = "\n".join(x for n, x in enumerate(left) if n not in drop)
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.select("removed_lines", *(F.col(f"row.`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
