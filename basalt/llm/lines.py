@@ -8,8 +8,8 @@ words share only makes it weaker). Postings of a word meet under four exact filt
 left of both lines after the shared word must suffice); and a 128-bit parity map of the words, whose
 differing bits are a lower bound of the differing words. The components of what is left are verified on the
 whole sets, words by their bytes, and a line goes if an earlier line, by (doc_id, line number), matches it. Components are chains of
-what no filter ruled out; so those of more than LARGE_ROWS lines are verified within the lines that met in one task
-first, and made anew of the links that hold.
+what no filter ruled out; so those of more than LARGE_ROWS lines (16 blocks, up to which all pairs cost less than another
+pass) are verified within the lines that met in one task first, and made anew of the links that hold.
 
 Skew: equal lines are posted once by a task, and once after the shuffle; a word whose distinct postings exceed HOT_ROWS
 is passed on and cut into blocks that meet pairwise in cells. Postings hold 64-bit ids, which only bring candidates
@@ -31,7 +31,7 @@ from .links import BLOCK_ROWS, KEY, components, dealt, grouped, verify
 from .rarity import BUCKETS, bucket, bucket_counts
 from .words import LINE_FEED, Block, blocks, mix
 
-THRESHOLD, HOT_ROWS, LARGE_ROWS, PAIRS_AT_ONCE, SEEN = 0.8, 4096, 1024, 1 << 18, 1 << 20
+THRESHOLD, HOT_ROWS, LARGE_ROWS, PAIRS_AT_ONCE, SEEN = 0.8, 4096, 16 * BLOCK_ROWS, 1 << 18, 1 << 20
 #: A posting has a word's hash, a line's 64-bit id, size << 32 | position, and the parity map; a line's row its document's
 #: number, both halves of its key, -1 - its number in the text, and doc_id; a document's row its number, its text's hash, DOC, the number of lines and doc_id.
 COLUMNS = ["token", "id", "meta", "x", "y"]

@@ -31,19 +31,20 @@ def fixed(column: pa.Array, width: int) -> np.ndarray:
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node in edges (a, b); root is the component's smallest node.
 
-    Large-star and small-star rounds until the edges stay as they are. Smallest neighbours are aggregated
+    Large-star and small-star rounds until the edges are stars whose center is the smallest node. Smallest neighbours are aggregated
     before the shuffle and saved, so that both sides of a join have shuffles of their own and a hub's can be split.
     """
 
     def both(e: DataFrame) -> DataFrame:
         return e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.shiftright(F.xxhash64("b", "a"), 20))).first())
+    def apart(e: DataFrame) -> bool:
+        """Whether some node has two neighbours that are less, or one that is less and one that is more."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("b", F.lit(0), F.lit(1)))
+        return not ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down + up > 1").isEmpty()
 
-    now = ws.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    seen, k = mark(now), 0
-    while seen[0]:
+    now, k = ws.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0"), 0
+    while apart(now):
         near = both(now)
         least = ws.save(near.groupBy("a").agg(F.min("b").alias("m")), f"{name}{k}large")
         least = least.select("a", F.least("a", "m").alias("m")).hint("merge")
@@ -53,18 +54,15 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
         small = large.join(least.hint("merge"), "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         k += 1
-        after = ws.save(small, f"{name}{k}")
+        now = ws.save(small, f"{name}{k}")
         for x in ("", "large", "stars", "small"):
             ws.drop(f"{name}{k - 1}{x}")
-        now, before, seen = after, seen, mark(after)
-        if seen == before:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
-def spanning(n: int, block: np.ndarray, crossing: bool, alike: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
-    """Spanning edges of the pairs that are alike. alike(i, js) gives those of the js; pairs that are connected by others aren't asked."""
-    label, heads, tails = np.arange(n), [], []
+def spanning(n: int, block: np.ndarray, crossing: bool, alike: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """A label for each row, equal where pairs that are alike connect rows. alike(i, js) gives those of the js; pairs that are connected by others aren't asked."""
+    label = np.arange(n)
     for i in range(n - 1):
         js = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         if crossing:
@@ -73,10 +71,19 @@ def spanning(n: int, block: np.ndarray, crossing: bool, alike: Callable[[int, np
             continue
         for j in alike(i, js).tolist():
             if label[j] != label[i]:
-                heads.append(i)
-                tails.append(j)
                 label[label == label[j]] = label[i]
-    return heads, tails
+    return label
+
+
+def stars_of(nodes: list[bytes], label: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """An edge from every node to the smallest one with its label."""
+    least: dict[int, bytes] = {}
+    labels = label.tolist()
+    for node, k in zip(nodes, labels, strict=True):
+        if k not in least or node < least[k]:
+            least[k] = node
+    pairs = [(node, least[k]) for node, k in zip(nodes, labels, strict=True) if node != least[k]]
+    return [x for x, _ in pairs], [x for _, x in pairs]
 
 
 def across(cell: int) -> bool:
@@ -163,7 +170,7 @@ def verify(ws: Workspace, members: DataFrame, words: int, threshold: float, name
     """Exact links among members (node, root, text, doc and line: where the node first stands), on sets of runs of so many words.
 
     Returns (node, n_links, first: the earliest doc and line of a linked node) for the nodes with links, and
-    spanning edges (a, b) of the links. A large component is cut into blocks of at most about BLOCK_ROWS rows
+    edges (a, b) that span them, stars in each cell. A large component is cut into blocks of at most about BLOCK_ROWS rows
     and BLOCK_BYTES bytes, or one longer text; a task holds two of them.
     """
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
@@ -190,19 +197,23 @@ def verify(ws: Workspace, members: DataFrame, words: int, threshold: float, name
                     if hi - lo < 2 or crossing and own.min() == own.max():
                         continue
                     label = np.arange(hi - lo)
+                    met = False
                     for i, js in overlaps(codes, begin[lo - base : hi - base + 1], own, threshold):
                         links[lo + i] += len(js)
                         links[lo + js] += 1
                         first[lo + i] = min(first[lo + i], rank[lo + js].min())
                         first[lo + js] = np.minimum(first[lo + js], rank[lo + i])
+                        met = True
                         for j in js[label[js] != label[i]].tolist():
                             if label[j] != label[i]:
-                                heads.append(lo + i)
-                                tails.append(lo + j)
                                 label[label == label[j]] = label[i]
+                    if met:
+                        a, b = stars_of([node[k].tobytes() for k in range(lo, hi)], label)
+                        heads += a
+                        tails += b
             some = np.flatnonzero(links)
-            a = pa.array([node[k].tobytes() for k in [*some, *heads]], pa.binary())
-            b = pa.array([None] * len(some) + [node[k].tobytes() for k in tails], pa.binary())
+            a = pa.array([*(node[k].tobytes() for k in some), *heads], pa.binary())
+            b = pa.array([None] * len(some) + tails, pa.binary())
             pad = np.zeros(len(heads), np.int64)
             where = order[first[some]]
             yield pa.RecordBatch.from_arrays([a, b, *(pa.array(np.concatenate([x, pad])) for x in (links[some], doc[where], line[where]))], names=["a", "b", "links", "doc", "line"])

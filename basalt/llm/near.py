@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, join_on, table
-from .links import BLOCK_ROWS, KEY, across, components, dealt, fixed, grouped, spanning, verify
+from .links import BLOCK_ROWS, KEY, across, components, dealt, fixed, grouped, spanning, stars_of, verify
 from .words import NO_WORD, blocks, shingles
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -144,12 +144,11 @@ def _candidates(ws: Workspace, nodes: DataFrame, threshold: float, tolerance: fl
                         js, same, done = js[ok], same[ok], n
                     return js
 
-                h, g = spanning(hi - lo, block[lo:hi], across(int(cell[lo])), alike)
-                heads += [lo + k for k in h]
-                tails += [lo + k for k in g]
+                h, g = stars_of([node[k].tobytes() for k in range(lo, hi)], spanning(hi - lo, block[lo:hi], across(int(cell[lo])), alike))
+                heads += h
+                tails += g
             if heads:
-                pair = [pa.array([node[k].tobytes() for k in x], pa.binary()) for x in (heads, tails)]
-                yield pa.RecordBatch.from_arrays(pair, names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (heads, tails)], names=["a", "b"])
 
     return cells.mapInArrow(run, "a binary, b binary")
 
