@@ -154,11 +154,12 @@ def _candidates(ws: Workspace, nodes: DataFrame, threshold: float, tolerance: fl
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, n_copies, node.
+    """One row per input row: doc_id, class_id, n_links, n_copies, node, head.
 
     n_links counts the different texts whose sets of five-word shingles have a Jaccard similarity of at least
     threshold with this one's; n_copies the rows with this very text, itself included; class_id is the smallest doc_id
-    that links and copies lead to (null if all are). A text with fewer than five words is one shingle. Texts
+    that links and copies lead to (null if all are); head is the node of one text with that id, the same for the whole
+    class. A text with fewer than five words is one shingle. Texts
     without words, null and empty ones among them, have no links, but equal ones are copies; null counts as
     empty. Repeated rows are copies. An empty table gives no rows; other columns are not read.
     """
@@ -177,28 +178,29 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     found = ws.save(counts.drop("first").join(root, "node", "left"), "found")
     classes = nodes.select("node", "rep", "n_copies").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = ws.save(classes, "classed")
-    of = ws.save(classes.groupBy("root").agg(F.min("rep").alias("class_id")), "heads")
-    classes = ws.save(classes.join(of, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "result")
+    of = classes.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least"))
+    of = ws.save(of.select("root", F.col("least.rep").alias("class_id"), F.col("least.node").alias("head")), "heads")
+    classes = ws.save(classes.join(of, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "head"), "result")
     for x in ("shared", "candidates", "inside", "texts", "verified", "found", "nodes", "classed", "heads"):
         ws.drop(x)
-    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "n_links", "n_copies", "node")
+    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "n_links", "n_copies", "node", "head")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with one of each class: the row of the smallest id, with all its columns (one row, should it repeat).
+    """The documents with one row of each class, with all its columns: that of the smallest id.
 
-    Null texts count as empty; empty ones, and others without words, are alike only where they are equal, so that one of each
-    stays. If all ids of a class are null, one of its rows without id stays for each different text. Whole texts count, of any length. An empty
-    table stays empty; other columns, whatever their names, go along.
+    Should that id repeat, or all ids of a class be null, the text with the smallest digest decides, and of equal texts any row. Null texts
+    count as empty; empty ones, and others without words, are alike only where they are equal, so that one of each
+    stays. Whole texts count, of any length. An empty table stays empty; other columns, whatever their names, go along.
     """
     near = similar(docs, id_col=id_col, text_col=text_col, **options)
-    keep = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node").distinct()
+    keep = near.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("head"))).select("doc_id", "node").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), _digest(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("node"))
     return join_on(rows, keep, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents")).drop("node")
+    return similar(table(spark, sf_dir, "documents")).drop("node", "head")
 
 
 SQL = """

@@ -73,6 +73,13 @@ def test_near_duplicates(spark, docs, empty, odd_ids, monkeypatch):
     classes = brute_force(texts(docs))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _, _ in classes.values()}) and kept.columns == docs.columns
     assert near.representatives(odd_ids).count() == 3
+    near_copies = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(6)]
+    other = " ".join(f"other{k}" for k in range(30))
+    for ids in ([None] * 6, [4] * 6, [None, None, 4, 4, 5, 5]):  # different texts of a class without ids, or with the same
+        twice = spark.createDataFrame([*zip(ids, near_copies, strict=True)] * 2 + [(None, other)], "doc_id long, text string")
+        left = near.representatives(twice).collect()
+        assert sorted([r["text"] == other for r in left]) == [False, True]
+        assert [r["doc_id"] for r in left if r["text"] != other] == [min((i for i in ids if i is not None), default=None)]
 
 
 def test_links_with_empty_blocks(spark, monkeypatch):
