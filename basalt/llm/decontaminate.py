@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import freeing, ship, table
 from .rarity import bucket, bucket_counts
 from .words import Block, blocks, eights, numbered, same_spans
 
@@ -237,7 +237,7 @@ class Decontaminator:
                 words, hit, items, sha = self.judged(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(hit), pa.array(items), pa.array(sha, pa.string()), pa.array(hit > 0)], names=schema.names)
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(freeing(run), schema)
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """The rows of docs without a hit word, all columns as they are, whatever their names.
@@ -250,7 +250,7 @@ class Decontaminator:
             for batch in batches:
                 yield batch.filter(pa.array(self.judged(batch.column(at))[1] == 0))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_on, table
+from .common import Workspace, freeing, join_on, table
 from .links import BLOCK_ROWS, KEY, components, dealt, grouped, verify
 from .rarity import BUCKETS, bucket, bucket_counts
 from .words import LINE_FEED, Block, blocks, mix
@@ -127,7 +127,7 @@ def _posted(rows: DataFrame, rank, threshold: float) -> DataFrame:
                 pos = np.arange(len(of)) - np.repeat(np.cumsum(p) - p, p)
                 yield _batch([s.words[s.at[of] + pos].view(np.int64), s.lo[of], (n[of] << 32) | pos, x[of], y[of]])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
+    return rows.mapInArrow(freeing(run), ", ".join(f"{c} long" for c in COLUMNS))
 
 
 def _batch(longs: list[np.ndarray]) -> pa.RecordBatch:
@@ -253,7 +253,7 @@ def _edges(posted: DataFrame, threshold: float) -> DataFrame:
         yield from out
 
     cells = posted.repartition("token").sortWithinPartitions("token")
-    return cells.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS) + ", kind int")
+    return cells.mapInArrow(freeing(run), ", ".join(f"{c} long" for c in COLUMNS) + ", kind int")
 
 
 def _hot_edges(ws: Workspace, hot: DataFrame, threshold: float) -> DataFrame:
@@ -270,7 +270,7 @@ def _hot_edges(ws: Workspace, hot: DataFrame, threshold: float) -> DataFrame:
             own = np.where(np.repeat(same, np.diff(at)), np.arange(len(block)) + (1 << 32), block)
             yield _met(t, at, own, threshold, -1 - _place(number)).select(["id", "x", "y"])
 
-    return cells.mapInArrow(run, "id long, x long, y long")
+    return cells.mapInArrow(freeing(run), "id long, x long, y long")
 
 
 def _items(texts: DataFrame, rank) -> DataFrame:
@@ -295,7 +295,7 @@ def _items(texts: DataFrame, rank) -> DataFrame:
                 longs = {k: pa.array(v, pa.int64()) for k, v in (("lo", lo), ("root", root), ("doc", doc), ("line", line))}
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), longs["lo"], longs["root"], pa.array(text, pa.binary()), longs["doc"], longs["line"]], names=["node", "lo", "root", "text", "doc", "line"])
 
-    return texts.select("doc_id", "text", "want").mapInArrow(run, "node binary, lo long, root long, text binary, doc long, line long")
+    return texts.select("doc_id", "text", "want").mapInArrow(freeing(run), "node binary, lo long, root long, text binary, doc long, line long")
 
 
 def _refined(ws: Workspace, items: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
@@ -364,7 +364,7 @@ def _halves(counts: DataFrame) -> DataFrame:
             key = np.frombuffer(raw, "<i8").reshape(-1, KEY // 8)
             yield pa.RecordBatch.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), *batch.columns[1:]], names=["lo", "hi", *batch.schema.names[1:]])
 
-    return counts.mapInArrow(run, "lo long, hi long, n_links long, first struct<doc: long, line: long>")
+    return counts.mapInArrow(freeing(run), "lo long, hi long, n_links long, first struct<doc: long, line: long>")
 
 
 def strip(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,7 +384,7 @@ def strip(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select("removed_lines", *(F.col(f"row.`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)
+    return rows.select("removed_lines", *(F.col(f"row.`{c}`") for c in docs.columns)).mapInArrow(freeing(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, freeing
 from .words import CHUNK, blocks, numbered, numbered_shingles, text_buffer
 
 BLOCK_ROWS, BLOCK_BYTES, KEY = 1024, 4 << 20, 16
@@ -218,7 +218,7 @@ def verify(ws: Workspace, members: DataFrame, words: int, threshold: float, name
             where = order[first[some]]
             yield pa.RecordBatch.from_arrays([a, b, *(pa.array(np.concatenate([x, pad])) for x in (links[some], doc[where], line[where]))], names=["a", "b", "links", "doc", "line"])
 
-    found = ws.save(cells.mapInArrow(run, "a binary, b binary, links long, doc long, line long"), name)
+    found = ws.save(cells.mapInArrow(freeing(run), "a binary, b binary, links long, doc long, line long"), name)
     ws.drop(f"{name}sizes")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"), F.min(F.struct("doc", "line")).alias("first"))
     return counts, found.where("b is not null").select("a", "b")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_on, numbered_rows, place, ranked, table
+from .common import Workspace, freeing, join_on, numbered_rows, place, ranked, table
 from .words import count_runs
 
 WEIGHTS, MOST, BUCKET_ROWS, SEED = (5, 2, 1), 3, 2_000, 8
@@ -96,7 +96,7 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(count_runs(b.column(3), _IN_WORD))], names=schema.names)
 
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(freeing(count), schema)
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

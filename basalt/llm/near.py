@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_on, table
+from .common import Workspace, freeing, join_on, table
 from .links import BLOCK_ROWS, KEY, across, components, dealt, fixed, grouped, spanning, stars_of, verify
 from .words import NO_WORD, blocks, shingles
 
@@ -113,7 +113,7 @@ def _signed(rows: DataFrame, per_band: int) -> DataFrame:
 
     width = 4 * per_band
     band = F.transform(F.sequence(F.lit(0), F.lit(HASHES // per_band - 1)), lambda k: F.xxhash64(k, F.substring(F.col("keys"), k * width + 1, F.lit(width))))
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(freeing(run), schema)
     return out.withColumn("keys", F.when(F.col("keys").isNotNull(), band))
 
 
@@ -150,7 +150,7 @@ def _candidates(ws: Workspace, nodes: DataFrame, threshold: float, tolerance: fl
             if heads:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (heads, tails)], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a binary, b binary")
+    return cells.mapInArrow(freeing(run), "a binary, b binary")
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

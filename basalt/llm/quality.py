@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .common import Workspace, ship, table
+from .common import Workspace, freeing, ship, table
 from .words import CHUNK, blocks, shingles, span_hashes
 
 TRAIN_ROWS, FOLDS, THRESHOLD = 30_000, 5, 0.3
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
     if n > train_rows:
         marks = marks.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_rows / n))
     marks = ws.save(marks, "marks")
-    counted = rows.join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, schema)
+    counted = rows.join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(freeing(run), schema)
     one = counted.groupBy("doc_id").agg(F.min("x").alias("x"))
     seen = ws.save(one.join(F.broadcast(marks), "doc_id").select("x", "y", F.xxhash64("doc_id").alias("order")), "statistics")
     got = seen.toPandas().sort_values("order", kind="stable") if n else None
@@ -220,7 +220,7 @@ def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, id_col: s
             s = shared.value.score(statistics(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freeing(run), schema)
 
 
 def keep(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -236,7 +236,7 @@ def keep(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text_col:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(statistics(batch.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

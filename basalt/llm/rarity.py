@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import freeing
 from .words import NO_WORD, blocks
 
 BUCKETS, CHUNK_BUCKETS = 1 << 20, 1 << 12
@@ -44,7 +45,7 @@ def bucket_counts(texts: DataFrame, seed: int = 0) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["chunk", "n"])
 
     out = np.zeros((BUCKETS // CHUNK_BUCKETS, CHUNK_BUCKETS), dtype=np.int64)
-    rows = texts.mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInArrow(add, "chunk long, n binary")
+    rows = texts.mapInArrow(freeing(count), "chunk long, n binary").repartition("chunk").mapInArrow(freeing(add), "chunk long, n binary")
     for r in rows.collect():  # 256 rows of 32 KB, whatever the corpus
         out[r["chunk"]] += np.frombuffer(r["n"], "<i8")
     return out.ravel()

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, freeing, table
 from .words import CHUNK, LOWER, cuts, numbered, runs, span_hashes, text_buffer
 
 MAGIC, HEAD, SAMPLE = b"BSLTEF01", struct.Struct("<8Q"), 256
@@ -282,7 +282,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
         if docs_:
             yield segment()
 
-    rows.mapInArrow(run, "data binary").select(F.col("data").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    rows.mapInArrow(freeing(run), "data binary").select(F.col("data").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -301,7 +301,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.null), pa.array(part), pa.array(number), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "part", "number", "local", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    return files.mapInArrow(run, "doc_id long, part long, number long, local long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(freeing(run), "doc_id long, part long, number long, local long, n_tokens long, ids_crc32 long")
 
 
 def offsets(rows: DataFrame) -> DataFrame:

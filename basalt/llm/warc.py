@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_on, ship, table
+from .common import Workspace, freeing, join_on, ship, table
 
 #: fixed values of the WARC and base32 formats
 VERSION = "WARC/1.1"
@@ -168,7 +168,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return lines.mapInArrow(run, RECORDS)
+    return lines.mapInArrow(freeing(run), RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
