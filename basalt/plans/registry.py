@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -417,16 +418,16 @@ def time_accessors(c):
 def bulk_map_reduce(c):
     """Own map, combine and reduce functions over batches."""
 
-    def mapped(parts):
-        for p in parts:
-            yield p[["l_suppkey"]].assign(n=1, lines=p["l_linenumber"].astype("int64"))
+    def mapped(tables):
+        for t in tables:
+            yield pa.table({"l_suppkey": t["l_suppkey"], "n": pa.repeat(1, len(t)), "lines": t["l_linenumber"].cast("int64")})
 
     def added(rows):
-        return rows.groupby("l_suppkey", as_index=False).sum()
+        return rows.group_by("l_suppkey", use_threads=False).aggregate([("n", "sum"), ("lines", "sum")]).rename_columns(["l_suppkey", "n", "lines"])
 
     table = bulk.TableInput(c["lineitem"].read().select("l_suppkey", "l_linenumber"))
     schema = "l_suppkey long, n long, lines long"
-    return bulk.MapReduce(table, mapped, schema, ["l_suppkey"], added, schema, added).frame()
+    return bulk.ArrowMapReduce(table, mapped, schema, ["l_suppkey"], added, schema, added).frame()
 
 
 @query(

@@ -79,3 +79,19 @@ def test_sort_is_left_out_where_rows_are_sorted(spark, sf):
     assert sorts(relational.sort(joined, ["l_quantity"], within_partitions=True))[1] == 3
     again = relational.sort(relational.sort(left, ["o_custkey"]), ["o_custkey"])
     assert sorts(again)[1] == 1
+
+
+def test_bulk_map_reduce_serves_many_keys_a_call(spark, duck, sf, tmp_path):
+    for path in glob.glob(f"{sf}/*.parquet"):
+        if not path.endswith("/lineitem.parquet"):
+            os.symlink(path, tmp_path / os.path.basename(path))
+    duck.sql(
+        "COPY (SELECT CASE WHEN i % 7 > 0 THEN 9007199254740993 + i % 9000 END AS l_suppkey, CASE WHEN i % 3 > 0 THEN CAST(i % 7 AS INT) END AS l_linenumber "
+        f"FROM range(30000) r(i)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)"
+    )
+    got = registry.queries()["bulk_map_reduce"](spark, str(tmp_path))
+    want = duck.sql(registry.oracle_sql()["bulk_map_reduce"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet'")).fetchall()
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == 9001 and sum(r[2] is None for r in found) == 3000
+    assert sorted(found, key=repr) == sorted(want, key=repr)

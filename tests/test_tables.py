@@ -1,6 +1,7 @@
 import io
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,40 @@ def test_bulk_tree(spark, catalog):
         bulk.TableInput({}).frame()
 
 
+@pytest.mark.parametrize("combined", [True, False])
+def test_arrow_map_reduce_of_keys_that_span_batches(spark, monkeypatch, combined):
+    monkeypatch.setattr(bulk, "GATHERED", 4000)
+    calls = {name: spark.sparkContext.accumulator(0) for name in ("combine", "reduce")}
+
+    def mapper(tables):
+        for t in tables:
+            yield pa.table({"s": t["s"], "n": pa.repeat(1, len(t)), "k": t["k"]})
+
+    def total(name, f):
+        def run(rows):
+            calls[name].add(1)
+            return f(rows.group_by(["k", "s"]).aggregate([("n", "sum")]).rename_columns(["k", "s", "n"]))
+
+        return run
+
+    def once(rows):
+        return rows.append_column("calls", pa.repeat(1, len(rows)))
+
+    # one key has half of the rows, a tenth has no k, a tenth has NaN
+    k = F.when(F.col("id") % 2 == 0, 7.0).when(F.col("id") % 10 == 1, None).when(F.col("id") % 10 == 3, float("nan")).otherwise(F.col("id") % 400 * F.lit(1.0))
+    rows = spark.range(0, 20000, 1, 3).select(k.alias("k"), F.when(F.col("id") % 4 > 0, (F.col("id") % 3).cast("string")).alias("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        tree = bulk.ArrowMapReduce(bulk.TableInput(rows), mapper, "k double, s string, n long", ["k", "s"], total("reduce", once), "calls int, k double, s string, n long", total("combine", lambda t: t) if combined else None)
+        got = [tuple(r) for r in tree.frame().collect()]
+        assert not bulk.ArrowMapReduce(bulk.TableInput(rows.limit(0)), mapper, "k double, s string, n long", ["k", "s"], total("reduce", once), "calls int, k double, s string, n long").frame().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(1, *r) for r in rows.groupBy("k", "s").agg(F.count(F.lit(1))).collect()]
+    assert len(want) > 300 and sorted(map(repr, got)) == sorted(map(repr, want))
+    assert calls["reduce"].value <= 400 + 4 and (calls["combine"].value > 3) == combined
+
+
 def test_console(spark, catalog):
     out = io.StringIO()
     assert print_result(catalog["t"].read().select("id", "v").orderBy("id", "v"), out) == 4
